@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm.chat import VOCABULARY, digest_chat, format_chat, load_ranks
 from nearfield.llm.common import read
+from nearfield.llm.embedding_dedup import embedding_dedup
 from nearfield.llm.exact_dedup import exact_dedup
 from nearfield.llm.mixing import mix
 from nearfield.llm.packing import pack
+from nearfield.llm.simhash import simhash_components
 from nearfield.llm.url_filter import filter_urls
 
 
@@ -31,6 +33,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_url_filter, op4_exact_dedup, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_url_filter, op4_exact_dedup, op5_simhash, op7_embedding_dedup, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -74,6 +84,18 @@ ORACLES = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        v AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM d
+              WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        r(u, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM r JOIN l ON r.r = l.u),
+        c AS (SELECT u, min(r) AS component_id FROM r GROUP BY u),
+        n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN n ON vec_id = n.u JOIN c ON vec_id = c.u""",
     "op9_mixing": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                           md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),

@@ -117,3 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     if found is None:
         return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.select(F.col("u").alias("node"), F.col("p").alias("component"))
+
+
+def bounded_sample(docs: DataFrame, keys: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The rows of ``docs`` whose id is one of the ``rows`` first of ``keys`` (distinct
+    ids, column id) in the order of their md5. At most ``rows`` ids are broadcast."""
+    chosen = keys.where("id is not null").orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
+    return docs.join(F.broadcast(chosen.withColumnRenamed("id", "_id")), F.col(f"`{id_col}`") == F.col("_id"), "left_semi")

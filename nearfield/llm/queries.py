@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.llm import pii
 from nearfield.llm.chat import VOCABULARY, digest_chat, format_chat, load_ranks
 from nearfield.llm.common import read
 from nearfield.llm.embedding_dedup import embedding_dedup
 from nearfield.llm.exact_dedup import exact_dedup
 from nearfield.llm.mixing import mix
 from nearfield.llm.packing import pack
+from nearfield.llm.quality import classify
 from nearfield.llm.simhash import simhash_components
 from nearfield.llm.substring_dedup import substring_dedup
 from nearfield.llm.url_filter import filter_urls
@@ -42,10 +44,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_url_filter, op4_exact_dedup, op5_simhash, op7_embedding_dedup, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_url_filter, op4_exact_dedup, op5_simhash, op6_pii, op7_embedding_dedup, op8_quality, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

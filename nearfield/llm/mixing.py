@@ -33,8 +33,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     t = t.withColumn("total", F.sum("source_size").over(every) * float(share))
     t = t.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))) / F.sum("w").over(later))
-    t = t.withColumn("open_level", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-    t = t.withColumn("fill", F.min("open_level").over(every))
+    # the first source in that order that stays below its limit gives the level
+    opens = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.row_number().over(order).alias("at"), "level"))
+    t = t.withColumn("opens", opens).withColumn("fill", F.min("opens").over(every)["level"])
     goal = F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("fill") * F.col("w")))
     return t.select("source", "source_size", "source_rank", goal.alias("target"))
 

@@ -120,7 +120,7 @@ ORACLES = {
                      sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
         l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(w) OVER (ORDER BY cap / w, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-        f AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS fill FROM l),
+        f AS (SELECT *, (SELECT arg_min(level, (cap / w, source_rank)) FROM l WHERE level * w <= cap) AS fill FROM l),
         t AS (SELECT source, source_size, source_rank, total, CASE WHEN fill IS NULL THEN cap ELSE least(cap, fill * w) END AS target FROM f),
         q AS (SELECT d.doc_id, d.key, d.size, t.*, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

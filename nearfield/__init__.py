@@ -1 +1,12 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""Approximate nearest neighbours of sparse rows on Spark.
+
+    from nearfield import MinHash
+    model = MinHash(n_neighbors=5).fit(rows)      # rows: id, features, values
+    model.kneighbors()                            # id, rank, neighbor_id, distance
+"""
+
+from nearfield.operators.cluster import MinHashClustering, MinHashDBSCAN, MinHashSpectralClustering
+from nearfield.operators.classify import MinHashClassifier, WtaHashClassifier
+from nearfield.plans.model import MinHash, WtaHash
+
+__all__ = ["MinHash", "MinHashClassifier", "MinHashClustering", "MinHashDBSCAN", "MinHashSpectralClustering", "WtaHash", "WtaHashClassifier"]

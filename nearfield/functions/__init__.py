@@ -1 +1 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""Hash functions, as columns and on arrays."""

@@ -1 +1 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""Signatures, the index, candidates, exact measures, graphs and what builds on them."""

@@ -1 +1 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""The models and the queries."""

@@ -1 +1 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""Readers and feature builders."""

@@ -1 +1 @@
-"""A Spark-native engine for nearest neighbours of sparse rows."""
+"""Streams of rows into an index."""

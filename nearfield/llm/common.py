@@ -1,15 +1,17 @@
-"""What the operators of this subpackage share: tables in the shared folder, row
-names, connected components, and words."""
+"""What the operators of this subpackage share; tables in the shared folder and
+connected components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.components import components
+from nearfield.sources.shared import materialize, shared_dir
+
+__all__ = ["ascii_lower", "bounded_sample", "components", "materialize", "pick", "read", "running_sum", "shared_dir", "small_batches", "word_count"]
+
 #: The separators of words, as a Java and as a Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,28 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local
-    folder in local mode and an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: its lineage ends
-    there, it survives lost executors, and what is not a function of its rows alone
-    (row names) is fixed from then on."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearfield-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -86,39 +66,6 @@ def running_sum(df: DataFrame, group: str, key: str, ties: list[str], value: str
     return joined.withColumn(into, F.col(into) + F.col("_before")).drop("_bucket", "_group", "_b", "_before")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of ``edges`` (u, v): component is the smallest
-    node reachable. Each round hooks every node to its smallest neighbour, halves the
-    chains and contracts the graph, so the number of rounds grows as the logarithm of
-    the longest chain. No round gathers links anywhere: minima are pre-aggregated and
-    the joins have plain exchanges on both sides, which adaptive execution can split.
-    """
-    left = materialize(edges.select("u", "v").where("u <> v").distinct())
-    found = None
-    while not left.isEmpty():
-        both = left.union(left.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        hook = materialize(hook)
-        for _ in range(2):
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p").select("u", F.col("pp").alias("p"))
-        hook = materialize(hook)
-        at_u = hook.select("u", F.col("p").alias("pu"))
-        at_v = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        left = materialize(
-            left.join(at_u, "u").join(at_v, "v").where("pu <> pv")
-            .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
-        )
-        if found is None:
-            found = hook
-        else:
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            found = materialize(found.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
-    if found is None:
-        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.select(F.col("u").alias("node"), F.col("p").alias("component"))
-
-
 def bounded_sample(docs: DataFrame, keys: DataFrame, id_col: str, rows: int) -> DataFrame:
     """The rows of ``docs`` whose id is one of the ``rows`` first of ``keys`` (distinct
     ids, column id) in the order of their md5. At most ``rows`` ids are broadcast."""

@@ -41,7 +41,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = ascii_lower(F.col("text")) if normalize else F.coalesce("text", F.lit(""))
     given = pick(docs, id=id_col, text=text_col).select("id", text.alias("text"))
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / block_bytes).cast("int")),
+        F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("bytes") - 1, F.lit(0)) / block_bytes).cast("int")),
         lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes)),
     )
     key = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - key_bits) if key_bits < 64 else F.xxhash64(b)

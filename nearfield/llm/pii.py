@@ -32,6 +32,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: probability of an added span, and rounds of messages.
 SAMPLE, NEAR, LEAST_DIGITS, KEY_DIGITS, MARGINAL, ROUNDS = 2000, 80, 7, 7, 0.9, 12
 
+#: What training takes for granted: so many agreeing pairs with one key, to one of each
+#: other kind; and the decay of the unary weights, which keeps shapes from outweighing
+#: what a skip edge says.
+SKIP_PRIOR, DECAY = 200, 5e-3
+
 #: The base patterns. The address is found from its @ outwards, and an
 #: ip only where a run of digits begins; both give the matches of the plain patterns
 #: without going through long runs again and again.
@@ -96,6 +101,10 @@ class Candidates:
 N_FEATURES = 16
 
 
+#: For each kind the feature that its pattern cannot do without.
+NEEDS = {1: 2, 2: 11, 3: 14, 4: 9}
+
+
 def _shape(x: str) -> list[float]:
     digits, at = _digits(x), x.find("@")
     n = len(digits)
@@ -175,18 +184,23 @@ class Field:
 
 def train(texts: list[str], steps: int = 300) -> Field:
     """Unary weights by multinomial logistic regression on the candidates' shapes, the
-    labels being the base kinds; weights of pairs from how often neighbours and
+    labels being the base kinds, against the same shapes without the sign of their
+    kind, so that a shape alone never makes a kind; weights of pairs from how often neighbours and
     candidates with one key have each pair of labels, beyond chance."""
     labels = len(KINDS) + 1
     made = [candidates(t, base_spans(t)) for t in texts]
     made = [c for c in made if len(c.base)]
     counts = np.ones((2, labels, labels)) + 4 * np.eye(labels)
-    counts[1] += 20 * np.eye(labels)
+    counts[1] += SKIP_PRIOR * np.eye(labels)
     groups: Counter = Counter()
     for c in made:
         np.add.at(counts, (c.edges[:, 2], c.base[c.edges[:, 0]], c.base[c.edges[:, 1]]), 1)
         for f, k in zip(c.features, c.base):
             groups[(tuple(f), int(k))] += 1
+            if k:  # the same shape without what makes the kind is no such kind by itself
+                lacking = f.copy()
+                lacking[NEEDS[int(k)]] = 0
+                groups[(tuple(lacking), 0)] += 1
     share = counts / counts.sum(axis=(1, 2), keepdims=True)
     pairs = np.log(share) - np.log(share.sum(axis=2, keepdims=True)) - np.log(share.sum(axis=1, keepdims=True))
     unary = np.zeros((N_FEATURES, labels))
@@ -196,7 +210,7 @@ def train(texts: list[str], steps: int = 300) -> Field:
         for _ in range(steps):
             z = x @ unary
             p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            unary += 1.0 * (x.T @ (w[:, None] * (goal - p)) - 1e-4 * unary)
+            unary += 1.0 * (x.T @ (w[:, None] * (goal - p)) - DECAY * unary)
     return Field(unary, pairs)
 
 

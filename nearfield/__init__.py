@@ -5,8 +5,15 @@
     model.kneighbors()                            # id, rank, neighbor_id, distance
 """
 
-from nearfield.operators.cluster import MinHashClustering, MinHashDBSCAN, MinHashSpectralClustering
-from nearfield.operators.classify import MinHashClassifier, WtaHashClassifier
-from nearfield.plans.model import MinHash, WtaHash
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel with their tasks, so executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from nearfield.operators.cluster import MinHashClustering, MinHashDBSCAN, MinHashSpectralClustering  # noqa: E402
+from nearfield.operators.classify import MinHashClassifier, WtaHashClassifier  # noqa: E402
+from nearfield.plans.model import MinHash, WtaHash  # noqa: E402
 
 __all__ = ["MinHash", "MinHashClassifier", "MinHashClustering", "MinHashDBSCAN", "MinHashSpectralClustering", "WtaHash", "WtaHashClassifier"]

@@ -3,6 +3,7 @@ import zipfile
 import numpy as np
 from pyspark.ml.linalg import Vectors
 
+from nearfield.sources import shared
 from nearfield.sources.rows import from_csr, from_vectors, read_matrix_market, read_npz
 
 
@@ -32,3 +33,14 @@ def test_npz(spark, tmp_path):
 def test_vectors(spark):
     df = spark.createDataFrame([(0, Vectors.sparse(4, [1, 3], [2.0, 5.0])), (2, Vectors.dense(1.5, 0, 0, 0))], ["k", "v"])
     assert as_set(from_vectors(df, "k", "v")) == WANT
+
+
+def test_tables_in_the_shared_folder_can_be_released(spark):
+    from pathlib import Path
+
+    kept = shared.materialize(spark.range(5))
+    assert kept.count() == 5 and shared.materialize(spark.range(0)).count() == 0
+    where = Path(shared._own_dir(spark))
+    assert any(where.iterdir())
+    shared.release(spark)
+    assert not where.exists()

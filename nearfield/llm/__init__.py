@@ -2,10 +2,3 @@
 
 Nothing else in the library imports this subpackage, so it can be removed whole.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions of this subpackage travel with their tasks, so executors need no copy of it
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

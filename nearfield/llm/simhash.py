@@ -30,7 +30,7 @@ SEGMENT = 4
 #: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998.
 NEAR_SHINGLE, NEAR_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 5
 #: Members that are compared with their group's first document in one task.
-GROUP_PART = 2000
+GROUP_PART = 200
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED):

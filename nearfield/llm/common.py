@@ -3,8 +3,7 @@ connected components come from the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.components import components
@@ -12,8 +11,8 @@ from nearfield.sources.shared import materialize, shared_dir
 
 __all__ = ["ascii_lower", "bounded_sample", "components", "materialize", "pick", "read", "running_sum", "shared_dir", "small_batches", "word_count"]
 
-#: The separators of words, as a Java and as a Python pattern.
-WORD = r"[^\x20\x09-\x0D]+"
+#: The letters that normalising changes. Words are runs of characters
+#: other than space and the five control characters from tab to carriage return.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +40,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def word_count(text: Column) -> Column:
     """The number of words of the whole text; null: 0."""
-    # bytes.split() without an argument parts at just the six separators of WORD
+    # bytes.split() without an argument parts at just those six separators
     count = F.pandas_udf(lambda texts: texts.map(lambda t: len(t.encode("utf-8", "surrogatepass").split())), "long")
     return count(F.coalesce(text, F.lit("")))
 

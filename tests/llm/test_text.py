@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm import chat, pii, quality
-from nearfield.llm.url_filter import MAX_BITS, RULES, Cascade, filter_urls, host_and_path
+from nearfield.llm.url_filter import MAX_BITS, RULES, Cascade, filter_urls
 from tests.conftest import SF
 from tests.llm.conftest import DOCS
 

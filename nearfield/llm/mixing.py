@@ -8,6 +8,8 @@ ordered by finish time, and the order is cut where the total budget is used up.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     small_batches(spark)
     sized = pick(docs, id=id_col, source=source_col, text=text_col).select("id", "source", word_count(F.col("text")).alias("size"))
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    pieces = max(4096, math.isqrt(sized.count()))  # of a unit of finish time
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats))
     budget = (goals.agg(F.sum("source_size")).first()[0] or 0) * float(share)
     queue = running_sum(sized, "source", "key", ["id", "size", "row"], "size", "upto")
@@ -66,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each = queue.where("size > 0 and target > 0").select("row", "key", "id", "size", "source_rank", F.explode(F.array(*[F.lit(i) for i in range(repeats)])).alias("pass"), "upto", "source_size", "target")
     finish = (F.col("source_size") * F.col("pass") + F.col("upto")) / F.col("target")
     order = ["finish", "source_rank", "pass", "key", "id", "size", "row"]
-    each = each.withColumn("finish", finish).withColumn("slice", F.floor(_stretch(F.col("finish")) * 4096))
+    each = each.withColumn("finish", finish).withColumn("slice", F.floor(_stretch(F.col("finish")) * pieces))
     # the total of each slice of time, so that only the slice of the cut is sorted
     slices = each.groupBy("slice").agg(F.sum("size").alias("sum")).withColumn("upto", F.sum("sum").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
     cut = slices.where(F.col("upto") > F.lit(budget)).orderBy("slice").limit(1).first()

@@ -11,38 +11,103 @@ from nearfield.operators.candidates import first
 
 #: Neighbours of round one at most, whatever k and the excess factor are.
 MOST_ROUND_ONE = 100
+#: Cells of a table that goes to every executor (16 bytes each, so 64 MB) at most.
+MOST_CELLS = 4_000_000
 
 
 def squared_norm(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v)
 
 
+def _spans(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell of the rows, in order: which of ``rows`` it is of, and where."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    which = np.repeat(np.arange(len(rows)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[rows][which]
+
+
+def _matched(which_a, fa, va, which_b, fb, vb, n: int) -> np.ndarray:
+    """Dot products of n pairs of rows from their cells, which are in order."""
+    ka, kb = (which_a.astype(np.int64) << 31) + fa, (which_b.astype(np.int64) << 31) + fb
+    at = np.searchsorted(kb, ka)
+    hit = at < len(kb)
+    hit[hit] = kb[at[hit]] == ka[hit]
+    return np.bincount(which_a[hit], weights=va[hit] * vb[at[hit]], minlength=n).astype(np.float64)
+
+
+class _Table:
+    """Rows that are few enough for every executor, in the order of their ids."""
+
+    def __init__(self, rows: DataFrame):
+        got = rows.select("id", "features", "values").toArrow().combine_chunks()
+        order = np.argsort(got["id"].to_numpy(), kind="stable")
+        got = got.take(pa.array(order)).combine_chunks()
+        self.ids = got["id"].to_numpy()
+        lists = pa.concat_arrays(got["features"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int64()))
+        values = pa.concat_arrays(got["values"].chunks) if got.num_rows else pa.array([], pa.list_(pa.float64()))
+        self.sizes = np.array(lists.value_lengths().fill_null(0), dtype=np.int64)
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.features, self.values = lists.flatten().to_numpy(), values.flatten().to_numpy()
+        self.norms = np.bincount(np.repeat(np.arange(len(self.ids)), self.sizes), weights=self.values**2, minlength=len(self.ids)).astype(np.float64)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ids, and which of them are there."""
+        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        return at, self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), dtype=bool)
+
+
+def _small(*frames: DataFrame) -> bool:
+    """Whether the rows have MOST_CELLS cells at most, and whole numbers as ids."""
+    if any(dict(f.dtypes)["id"] not in ("bigint", "int") for f in frames):
+        return False
+    return all((f.agg(F.sum(F.size("features") + 4)).first()[0] or 0) <= MOST_CELLS for f in {id(f): f for f in frames}.values())
+
+
 def dot_products(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``pairs`` (id, neighbor_id) with xy, xx and yy, looked up in ``left`` and
-    ``right``. Sorted feature lists of a whole batch are matched at once."""
+    """``pairs`` (id, neighbor_id) with xx, yy and xy, looked up in ``left`` and
+    ``right``; sorted feature lists of a whole batch are matched at once. Where both
+    have MOST_CELLS cells at most they go to every executor, and the pairs stay where
+    they are; else the rows are joined to the pairs. The sums are the same."""
+    pairs = pairs.select("id", "neighbor_id")
+    kind = dict(pairs.dtypes)
+    schema = f"id {kind['id']}, neighbor_id {kind['neighbor_id']}, xx double, yy double, xy double"
+    if _small(left, right):
+        a = _Table(left)
+        b = a if left is right else _Table(right)
+        held = left.sparkSession.sparkContext.broadcast((a, b))
+
+        def look_up(batches):
+            a, b = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8192):
+                    c = batch.slice(at, 8192)
+                    ia, there_a = a.find(c.column("id").to_numpy())
+                    ib, there_b = b.find(c.column("neighbor_id").to_numpy())
+                    both = np.flatnonzero(there_a & there_b)
+                    ia, ib = ia[both], ib[both]
+                    (wa, ca), (wb, cb) = _spans(a.offsets, ia), _spans(b.offsets, ib)
+                    xy = _matched(wa, a.features[ca], a.values[ca], wb, b.features[cb], b.values[cb], len(both))
+                    cols = [c.column(n).take(pa.array(both)) for n in ("id", "neighbor_id")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(a.norms[ia]), pa.array(b.norms[ib]), pa.array(xy)], names=["id", "neighbor_id", "xx", "yy", "xy"])
+
+        return pairs.mapInArrow(look_up, schema)
     a = left.select("id", F.col("features").alias("fa"), F.col("values").alias("va"), squared_norm(F.col("values")).alias("xx"))
     b = right.select(F.col("id").alias("neighbor_id"), F.col("features").alias("fb"), F.col("values").alias("vb"), squared_norm(F.col("values")).alias("yy"))
-    both = pairs.select("id", "neighbor_id").join(a, "id").join(b, "neighbor_id")
+    both = pairs.join(a, "id").join(b, "neighbor_id")
 
-    def keys(lists):
-        sizes = np.diff(lists.offsets.to_numpy())
-        return (np.repeat(np.arange(len(sizes)), sizes).astype(np.int64) << 31) + lists.flatten().to_numpy()
+    def rows_of(lists):
+        return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
 
     def dots(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 c = batch.slice(at, 2048)
-                ka, kb = keys(c.column("fa")), keys(c.column("fb"))
-                va, vb = c.column("va").flatten().to_numpy(), c.column("vb").flatten().to_numpy()
-                at_b = np.searchsorted(kb, ka)
-                hit = at_b < len(kb)
-                hit[hit] = kb[at_b[hit]] == ka[hit]
-                xy = np.bincount(ka[hit] >> 31, weights=va[hit] * vb[at_b[hit]], minlength=c.num_rows).astype(np.float64)
+                (wa, fa), (wb, fb) = rows_of(c.column("fa")), rows_of(c.column("fb"))
+                xy = _matched(wa, fa, c.column("va").flatten().to_numpy(), wb, fb, c.column("vb").flatten().to_numpy(), c.num_rows)
                 cols = [c.column(n) for n in ("id", "neighbor_id", "xx", "yy")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(xy)], names=["id", "neighbor_id", "xx", "yy", "xy"])
 
-    kind = dict(pairs.dtypes)
-    return both.select("id", "neighbor_id", "xx", "yy", "fa", "va", "fb", "vb").mapInArrow(dots, f"id {kind['id']}, neighbor_id {kind['neighbor_id']}, xx double, yy double, xy double")
+    return both.select("id", "neighbor_id", "xx", "yy", "fa", "va", "fb", "vb").mapInArrow(dots, schema)
 
 
 def euclid() -> Column:
@@ -94,13 +159,54 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 def exact_neighbors(rows: DataFrame, k: int, queries: DataFrame | None = None, precision: int | None = None) -> DataFrame:
     """The true k nearest by cosine, the yardstick of recall: rows without a common
-    feature have cosine 0, so a join on features finds all others."""
+    feature have cosine 0, so matching features finds all others. Queries of MOST_CELLS
+    cells at most go to every executor and are compared with the rows block by block;
+    more are joined on features."""
     from nearfield.sources.rows import to_long
 
     q = rows if queries is None else queries
-    a, b = to_long(q), to_long(rows).withColumnRenamed("id", "neighbor_id").withColumnRenamed("v", "w")
-    sums = a.join(b, "f").where("id <> neighbor_id").groupBy("id", "neighbor_id").agg(F.sum(F.col("v") * F.col("w")).alias("xy"))
-    norm = lambda d, i, n: d.select(F.col("id").alias(i), squared_norm(F.col("values")).alias(n))
-    full = sums.join(norm(q, "id", "xx"), "id").join(norm(rows, "neighbor_id", "yy"), "neighbor_id")
+    id_type = dict(rows.dtypes)["id"]
+    if _small(q):
+        held = rows.sparkSession.sparkContext.broadcast(_Table(q))
+
+        def compare(batches):
+            t = held.value
+            order = np.argsort(t.features, kind="stable")
+            features, values = t.features[order], t.values[order]
+            of = np.repeat(np.arange(len(t.ids)), t.sizes)[order]
+            root = np.sqrt(t.norms)
+            for batch in batches:
+                # as many rows at a time as make a block of 4 million pairs
+                step = max(1, 4_000_000 // max(1, len(t.ids)))
+                for at in range(0, batch.num_rows, step):
+                    c = batch.slice(at, step)
+                    lists, v = c.column("features"), c.column("values").flatten().to_numpy()
+                    row = np.repeat(np.arange(c.num_rows), np.diff(lists.offsets.to_numpy()))
+                    f = lists.flatten().to_numpy()
+                    low, high = np.searchsorted(features, f, "left"), np.searchsorted(features, f, "right")
+                    block = np.zeros(c.num_rows * len(t.ids))
+                    for part in np.array_split(np.arange(len(f)), max(1, int((high - low).sum()) // 4_000_000)):
+                        n = (high - low)[part]
+                        cell = np.repeat(part, n)
+                        hit = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + low[cell]
+                        block += np.bincount(row[cell] * len(t.ids) + of[hit], weights=v[cell] * values[hit], minlength=len(block))
+                    block = block.reshape(c.num_rows, len(t.ids))
+                    norm = np.sqrt(np.bincount(row, weights=v * v, minlength=c.num_rows))
+                    ids = c.column("id").to_numpy()
+                    block[ids[:, None] == t.ids[None, :]] = 0
+                    near = block / np.maximum(norm[:, None] * root[None, :], 1e-300)
+                    r, s = np.nonzero(block)
+                    if len(near) > k:  # a row below its query's k best of this block is no neighbour
+                        level = np.partition(near, -k, axis=0)[-k]
+                        keep = near[r, s] >= level[s] - 1e-6
+                        r, s = r[keep], s[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(t.ids[s]), pa.array(ids[r]), pa.array(t.norms[s]), pa.array((norm**2)[r]), pa.array(block[r, s])], names=["id", "neighbor_id", "xx", "yy", "xy"])
+
+        full = rows.mapInArrow(compare, f"id {id_type}, neighbor_id {id_type}, xx double, yy double, xy double")
+    else:
+        a, b = to_long(q), to_long(rows).withColumnRenamed("id", "neighbor_id").withColumnRenamed("v", "w")
+        sums = a.join(b, "f").where("id <> neighbor_id").groupBy("id", "neighbor_id").agg(F.sum(F.col("v") * F.col("w")).alias("xy"))
+        norm = lambda d, i, n: d.select(F.col("id").alias(i), squared_norm(F.col("values")).alias(n))
+        full = sums.join(norm(q, "id", "xx"), "id").join(norm(rows, "neighbor_id", "yy"), "neighbor_id")
     measure = F.round(cosine(), precision) if precision is not None else cosine()
     return nearest(full.select("id", "neighbor_id", measure.alias("distance")), k, True)

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, (key, part, role) in enumerate(zip(b.column("b").to_pylist(), b.column("part").to_pylist(), b.column("role").to_pylist())):
                 have = b.column("shingles")[i].values.to_numpy()
                 if role == 0:
-                    head, first = (key, part), have
+                    head, first = (key, part), have.copy()
                 elif head == (key, part):
                     both = len(np.intersect1d(first, have, assume_unique=True))
                     if both >= similarity * (len(first) + len(have) - both):

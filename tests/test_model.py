@@ -129,3 +129,22 @@ def test_dbscan_against_plain(spark):
     want = {a: label.get(a, min((label[b] for b in near[a] & core), default=-1)) for a in points}
     got = dbscan(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(a,) for a in points], "id long"), eps, least)
     assert {r["id"]: r["label"] for r in got.collect()} == want
+
+
+def test_rows_held_and_rows_joined_agree(spark, rows, monkeypatch):
+    from nearfield.operators import exact
+    from nearfield.sources.rows import to_long
+
+    pairs = model().fit(rows).kneighbors(fast=True).select("id", "neighbor_id").unionByName(spark.createDataFrame([(1, 10**9), (10**9, 1)], "id long, neighbor_id long"))
+    queries = rows.where("id % 5 = 0")
+    held = as_set(exact.dot_products(pairs, rows, rows)), as_set(exact.dot_products(pairs, queries, rows)), as_set(exact.exact_neighbors(rows, 4, queries, precision=6))
+    monkeypatch.setattr(exact, "MOST_CELLS", 0)
+    joined = as_set(exact.dot_products(pairs, rows, rows)), as_set(exact.dot_products(pairs, queries, rows)), as_set(exact.exact_neighbors(rows, 4, queries, precision=6))
+    assert held == joined and all(held)
+    a = {(r["id"], r["f"]): r["v"] for r in to_long(rows).collect()}
+    want = {}
+    for i, n, *_ in held[0]:
+        want[i, n] = sum(v * a.get((n, f), 0.0) for (r, f), v in a.items() if r == i)
+    assert all(abs(xy - want[i, n]) < 1e-6 for i, n, _, _, xy in held[0])
+    none = rows.where("1 = 0")
+    assert exact.dot_products(pairs, none, none).count() == 0

@@ -164,3 +164,34 @@ def test_a_mix_cut_at_a_hot_source(spark):
 
 def test_null_and_extra_columns_are_no_trouble(messy):
     assert pack(messy.withColumn("bin_id", F.lit(1))).count() == pack(messy).count()
+
+
+def staged(frame):
+    """As a stage gets its docs."""
+    return frame.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def rows(frame):
+    return Counter(map(tuple, frame.collect()))
+
+
+def test_exact_stage_decides_by_row(spark, messy, empty):
+    more = [(20, "ex", "en", "a"), (20, "why", "en", "a"), (21, "ex", "en", "a"), (None, "no ID here", "en", "a"), (None, "twice", "en", "a"), (None, "Twice", "en", "a")]
+    docs = staged(messy).unionByName(staged(spark.createDataFrame(more, "doc_id long, text string, lang string, source string")))
+    given, got = rows(docs), rows(corpus_pipeline.exact(spark, docs, SF))
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    best = defaultdict(lambda: -1)
+    for i, t, *_ in given:
+        best[low(t)] = max(best[low(t)], -1 if i is None else i)
+    assert not got - given
+    assert Counter((low(t), -1 if i is None else i) for i, t, *_ in got.elements()) == Counter(best.items())
+    assert corpus_pipeline.exact(spark, staged(empty), SF).count() == 0
+
+
+def test_other_stages_on_messy_rows(spark, messy):
+    docs = staged(messy)
+    good = rows(corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001"))
+    assert not good - rows(docs)
+    near = Counter(i for i, *_ in rows(corpus_pipeline.near(spark, docs, SF)).elements())
+    assert near[6] == 2 and near[7] == 0 and near[None] == 2 and near[1] + near[2] == 1
+    check_packed(corpus_pipeline.packing(spark, docs, SF).collect(), {7: 9001, 3: 0, 1: 8})

@@ -47,7 +47,7 @@ def _stretch(finish: Column) -> Column:
     return F.when(finish <= 1.5, finish).otherwise(1.5 + F.log(finish / 1.5))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, row_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """(id, source, size, source_size, target, passes, taken), a row for each row of
     ``docs``: the mix takes the document ``passes`` times, ``taken`` = size * passes.
 
@@ -55,11 +55,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     md5(id), then id and size, so reruns agree; rows that tie in all three take turns.
     Null sources are a source of their own. Documents without words, and with them
     an empty corpus, are never taken. A hot source is cut by digest into buckets.
+    ``row_col`` names a column with another whole number for each row; the result has
+    it too, so that rows which share an id, or have none, can be told apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sized = pick(docs, id=id_col, source=source_col, text=text_col).select("id", "source", word_count(F.col("text")).alias("size"))
-    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    given = pick(docs, id=id_col, source=source_col, text=text_col, **({"row": row_col} if row_col else {}))
+    row = F.col("row") if row_col else F.monotonically_increasing_id()
+    sized = given.select("id", "source", word_count(F.col("text")).alias("size"), row.alias("row"))
+    sized = materialize(sized.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
     pieces = max(4096, math.isqrt(sized.count()))  # of a unit of finish time
     goals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats))
     budget = (goals.agg(F.sum("source_size")).first()[0] or 0) * float(share)
@@ -85,4 +89,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             inside |= F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(cast[c]).alias(c) for c in order])
     passes = each.where(inside).groupBy("row").agg(F.count("*").alias("passes"))
     out = queue.join(passes, "row", "left").withColumn("passes", F.coalesce("passes", F.lit(0).cast("long")))
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"))
+    own = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), *own, "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"))

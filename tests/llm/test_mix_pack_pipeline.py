@@ -188,6 +188,19 @@ def test_exact_stage_decides_by_row(spark, messy, empty):
     assert corpus_pipeline.exact(spark, staged(empty), SF).count() == 0
 
 
+def test_mixing_stage_repeats_each_row_by_its_own_passes(spark, messy, empty):
+    more = [(30, "w " * k, "en", "a") for k in (3, 5, 5, 7)] + [(None, "x " * k, "fr", "d") for k in (2, 4, 400)]
+    docs = staged(messy).unionByName(staged(spark.createDataFrame(more, "doc_id long, text string, lang string, source string")))
+    size = lambda t: len((t or "").encode().split())
+    want = Counter()
+    for x in mix(docs).collect():
+        want[x["doc_id"], x["source"], x["size"]] += x["passes"] if x["size"] else 1
+    got = rows(corpus_pipeline.mixing(spark, docs, SF))
+    assert Counter((i, s, size(t)) for i, t, _, s, _ in got.elements()) == +want
+    assert any(i is None and t for i, t, *_ in got) and not set(got) - set(rows(docs))
+    assert corpus_pipeline.mixing(spark, staged(empty), SF).count() == 0
+
+
 def test_other_stages_on_messy_rows(spark, messy):
     docs = staged(messy)
     good = rows(corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001"))

@@ -29,8 +29,9 @@ SEGMENT = 4
 #: the samples: how many, and shingles in each. A pair at the least similarity shares
 #: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998.
 NEAR_SHINGLE, NEAR_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 5
-#: Members that are compared with their group's first document in one task.
-GROUP_PART = 200
+#: Members that are compared with their group's first document in one task, or of
+#: each side of a block; shingles of a side of a block.
+GROUP_PART, PART_SHINGLES = 200, 1 << 18
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED):
@@ -150,6 +151,119 @@ def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return rows.mapInArrow(made, f"id {dict(rows.dtypes)['id']}, n long, fps array<long>")
 
 
+def _shingle_sets(rows: DataFrame, columns: str, width: int) -> DataFrame:
+    """``columns`` of ``rows``, which have a column text, and the set of shingles of
+    the text, by the lower halves of their hashes in order."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def made(batches):
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                parts = list(shingle_hashes(text, width)) or [np.zeros(0, dtype=np.uint64)]
+                out.append(np.unique(np.concatenate(parts).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.int32()))], names=[*names, "shingles"])
+
+    return rows.select(*names, "text").mapInArrow(made, f"{columns}, shingles array<int>")
+
+
+def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(u, v): links that join what ``links`` leave apart within groups. ``rest`` has
+    (sample, fp, id, n), the groups without their first documents.
+
+    Groups that lie in one component are done. Others are cut into parts: a component
+    with many members in the group has parts of its own, the small ones share parts.
+    Each pair of parts is compared in a task of its own, but for pairs of one
+    component; pairs of documents that are connected by then are passed over."""
+    group = ["sample", "fp"]
+    id_type = dict(rest.dtypes)["id"]
+    label = materialize(components(links))
+    rest = rest.groupBy(*group, "id").agg(F.max("n").alias("n")).join(label.withColumnRenamed("node", "id"), "id", "left")
+    rest = materialize(rest.withColumn("component", F.coalesce("component", "id")))
+    apart = rest.groupBy(*group).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
+    )
+    # groups with the same members are searched once
+    apart = apart.where("low < high").groupBy("members", "x", "y").agg(F.min(F.struct(*group)).alias("group")).select("group.*")
+    apart = materialize(apart)
+    if apart.isEmpty():
+        return links.where("1 = 0")
+    rest = materialize(rest.join(apart, group))
+    fill = lambda: F.ceil(F.greatest(F.sum("members") / GROUP_PART, F.sum("n") / PART_SHINGLES)).cast("int")
+    own = rest.groupBy(*group, "component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    own = materialize(own.withColumn("large", (F.col("members") >= GROUP_PART) | (F.col("n") >= PART_SHINGLES)))
+    large = own.where("large").groupBy(*group, "component").agg(fill().alias("parts"))
+    small = own.where("not large").groupBy(*group).agg(fill().alias("parts")).withColumn("component", F.lit(None).cast(id_type))
+    kinds = materialize(large.unionByName(small[large.columns]))
+    parts = materialize(kinds.select(*group, F.col("component").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    name = F.struct(F.col("of"), F.col("part"))
+    left, right = (parts.select(*group, F.col("of").alias(f"of_{side}"), name.alias(side)) for side in "ij")
+    blocks = left.join(right, group).where("i <= j and (of_i is null or of_j is null or of_i <> of_j)").select(*group, "i", "j")
+    # each block with its left part, and with its right part where that is another
+    sides = blocks.select(*group, "i", "j", F.col("i").alias("own"), F.lit(0).alias("side"))
+    sides = sides.unionByName(blocks.where("i <> j").select(*group, "i", "j", F.col("j").alias("own"), F.lit(1).alias("side")))
+    sides = sides.select(*group, F.md5(F.to_json(F.struct("i", "j"))).alias("block"), (F.col("i") == F.col("j")).alias("alone"), "side", F.col("own.of").alias("of"), F.col("own.part").alias("part"))
+    rest = rest.join(own.select(*group, "component", "large"), [*group, "component"]).withColumn("of", F.when(F.col("large"), F.col("component")))
+    kinds = kinds.select(*group, F.col("component").alias("_of"), "parts")
+    same = [rest[c] == kinds[c] for c in group]
+    rest = rest.join(kinds, [*same, rest["of"].eqNullSafe(kinds["_of"])]).select(*(rest[c] for c in group), "id", "component", "of", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    rest = materialize(rest)
+    same = [rest[c] == sides[c] for c in (*group, "part")]
+    asked = rest.join(sides, [*same, rest["of"].eqNullSafe(sides["of"])]).select(*(rest[c] for c in group), "block", "alone", "side", "id", "component")
+    sets = materialize(_shingle_sets(texts.join(rest.select("id").distinct(), "id"), f"id {id_type}", width))
+    columns = [*group, "block", "alone", "side", "id", "component", "shingles"]
+    dealt = asked.join(sets, "id").select(*columns).repartition(*group, "block").sortWithinPartitions(*group, "block", "side", "id")
+
+    def search(held):
+        """Pairs of ids of the members (alone, side, id, component, shingles)."""
+        held = [h for h in held if len(h[4])]
+        if len({h[3] for h in held}) < 2:
+            return []
+        names: dict = {}
+        root = np.array([names.setdefault(h[3], len(names)) for h in held])
+        size, side = np.array([len(h[4]) for h in held]), np.array([h[1] for h in held])
+        words, at = np.unique(np.concatenate([h[4] for h in held]), return_inverse=True)
+        own = np.split(at.astype(np.int32), np.cumsum(size)[:-1])
+        marked, out = np.zeros(len(words), dtype=bool), []
+        for i, h in enumerate(held):
+            if not h[0] and h[1]:
+                break
+            near = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+            near &= np.arange(len(held)) > i if h[0] else side == 1
+            found = np.flatnonzero(near).tolist()
+            if not found:
+                continue
+            marked[own[i]] = True
+            for j in found:
+                if root[i] != root[j]:
+                    both = int(np.count_nonzero(marked[own[j]]))
+                    if both >= similarity * (size[i] + size[j] - both):
+                        out.append((h[2], held[j][2]))
+                        root[root == root[j]] = root[i]
+            marked[own[i]] = False
+        return out
+
+    def compare(batches):
+        def record(pairs):
+            u, v = zip(*pairs)
+            return pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
+
+        key, held, kind = None, [], None
+        for b in batches:
+            kind = b.schema.field("id").type
+            rest = zip(*(b.column(c).to_pylist() for c in ("sample", "fp", "block", "alone", "side", "id", "component")))
+            for r, (*k, alone, side, i, c) in enumerate(rest):
+                if k != key:
+                    if pairs := search(held):
+                        yield record(pairs)
+                    key, held = k, []
+                held.append((alone, side, i, c, b.column("shingles")[r].values.to_numpy().copy()))
+        if pairs := search(held):
+            yield record(pairs)
+
+    return materialize(dealt.mapInArrow(compare, f"u {id_type}, v {id_type}"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(id, component_id) for the ids of ``docs`` that are in a group of near
     duplicates: documents connected by links of Jaccard similarity ``similarity`` or
@@ -158,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     At that similarity whole-text fingerprints differ in 10 bits or so, far beyond
     what a grid can hold, so candidates come from fingerprints of samples of shingles
     as well, which must be equal. In each group of equal fingerprints every document
-    is compared with the first one, on the whole sets. Rows without id are in no
+    is compared with the first one, on the whole sets; then those that no links
+    connect so far are compared with each other. Rows without id are in no
     group, nor are texts without words unless there are several; rows with one id are
     one document.
     """
@@ -177,16 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = pick(docs, id=id_col, text=text_col)
     id_type = dict(texts.dtypes)["id"]
 
-    def sets(batches):
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                parts = list(shingle_hashes(text, width)) or [np.zeros(0, dtype=np.uint64)]
-                out.append(np.unique(np.concatenate(parts).astype(np.uint32)).view(np.int32))
-            cols = [b.column(c) for c in ("id", "b", "part", "role")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.int32()))], names=["id", "b", "part", "role", "shingles"])
-
-    whole = texts.join(asked, "id").mapInArrow(sets, f"id {id_type}, b {id_type}, part int, role int, shingles array<int>")
+    whole = _shingle_sets(texts.join(asked, "id"), f"id {id_type}, b {id_type}, part int, role int", width)
 
     def compare(batches):
         head, first = None, None
@@ -204,6 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     dealt = whole.repartition("b", "part").sortWithinPartitions("b", "part", "role")
     links = materialize(dealt.select("id", "b", "part", "role", "shingles").mapInArrow(compare, f"u {id_type}, v {id_type}"))
+    rest = each.join(firsts, ["sample", "fp"]).where("id <> b").select("sample", "fp", "id", "n")
+    links = links.unionByName(_links_of_the_rest(rest, links, texts, width, similarity))
     return components(links).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 

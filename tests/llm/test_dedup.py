@@ -171,6 +171,34 @@ def test_near_duplicates_by_similarity(spark, monkeypatch):
     assert not false and len(missed) <= 1 and sum(root[i] != i for i in root) > 15
 
 
+@pytest.mark.parametrize("part", [200, 4])
+def test_every_group_is_searched_fully(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "GROUP_PART", part)
+    monkeypatch.setattr(simhash, "SAMPLES", 2)
+    monkeypatch.setattr(simhash, "SAMPLE_SIZE", 1)
+    r = random.Random(9)
+    texts = []
+    for k in range(3):
+        base = [f"b{k}w{i}" for i in range(150)]
+        for _ in range(8):  # variants that are no near copies of each other, and near copies of each
+            variant = [w if r.random() < 0.95 else f"v{r.random()}" for w in base]
+            for _ in range(r.randint(1, 6)):
+                texts.append(" ".join(w if r.random() < 0.01 else f"e{r.random()}" if r.random() < 0.012 else w for w in variant))
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = defaultdict(list)
+    for x in simhash._samples(docs, "doc_id", "text", 5).collect():
+        for at, fp in enumerate(x["fps"]):
+            met[at, fp].append(x["id"])
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in map(str.split, texts)]
+    linked = {(a, b) for ids in met.values() for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    root = reach(range(len(texts)), linked)
+    got = {x["id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()}
+    assert {i: got.get(i, i) for i in root} == root and any(len(ids) > 15 for ids in met.values())
+    heads = reach(range(len(texts)), {(min(ids), b) for ids in met.values() for b in ids if jaccard(sets[min(ids)], sets[b]) >= 0.8})
+    assert heads != root  # the first documents alone do not find them
+
+
 def test_near_dedup_keeps_columns_and_rows(messy, empty):
     out = simhash.near_dedup(messy)
     assert out.columns == messy.columns

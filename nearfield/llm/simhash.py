@@ -27,8 +27,10 @@ SHINGLE, SEED = 3, 42
 SEGMENT = 4
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity, and
 #: the samples: how many, and shingles in each. A pair at the least similarity shares
-#: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998.
-NEAR_SHINGLE, NEAR_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 5
+#: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998, and less for few shingles:
+#: 0.9976 for 52 of 65, none for 4 of 5. Pairs of documents with FEW shingles at most
+#: are found without samples, all of them.
+NEAR_SHINGLE, NEAR_SIMILARITY, SAMPLES, SAMPLE_SIZE, FEW = 5, 0.8, 16, 5, 64
 #: Members that are compared with their group's first document in one task, or of
 #: each side of a block; shingles of a side of a block.
 GROUP_PART, PART_SHINGLES = 200, 1 << 18
@@ -124,20 +126,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, fps): the number of different shingles, and a fingerprint of each of
-    SAMPLES samples, the shingles with the SAMPLE_SIZE smallest values under the
-    sample's own order; last, the fingerprint of the whole text."""
+    """(id, n, fps, few): the number of different shingles, and a fingerprint of each
+    of SAMPLES samples, the shingles with the SAMPLE_SIZE smallest values under the
+    sample's own order; last, the fingerprint of the whole text. ``few`` has the
+    shingles where there are FEW at most."""
     rows = pick(docs, id=id_col, text=text_col).where("id is not null")
     random = np.random.Generator(np.random.PCG64(7))
     factors = random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def made(batches):
         for b in batches:
-            n, out = [], []
+            n, out, few = [], [], []
             for text in b.column("text").to_pylist():
                 parts = list(shingle_hashes(text, width)) or [np.zeros(0, dtype=np.uint64)]
                 whole = np.unique(np.concatenate(parts))
                 n.append(len(whole))
+                few.append(signed(whole if len(whole) <= FEW else whole[:0]))
                 fps = []
                 for f in factors:
                     order = whole * f
@@ -146,9 +150,22 @@ def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     take = np.argpartition(order, SAMPLE_SIZE)[:SAMPLE_SIZE] if len(whole) > SAMPLE_SIZE else slice(None)
                     fps.append(majority([whole[take]]))
                 out.append(signed([*fps, majority(parts)]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], names=["id", "n", "fps", "few"])
 
-    return rows.mapInArrow(made, f"id {dict(rows.dtypes)['id']}, n long, fps array<long>")
+    return rows.mapInArrow(made, f"id {dict(rows.dtypes)['id']}, n long, fps array<long>, few array<long>")
+
+
+def _rarest(found: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, sample, fp): of each document with FEW shingles at most the rarest among
+    such documents, as many as it must share one of with any that is similar enough:
+    of n shingles ``similarity`` * n at least are common, so that not all of n - that
+    + 1 can be others. Those that no other row has are left out. ``sample`` is -1."""
+    rows = found.where("size(few) > 0").select("row", "id", "n", F.explode("few").alias("fp"))
+    held = rows.groupBy("fp").agg(F.count("*").alias("held")).where("held > 1")
+    held = rows.join(held, "fp", "left").withColumn("held", F.coalesce("held", F.lit(1).cast("long")))
+    order = held.groupBy("row", "id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "fp"))).alias("order"))
+    first = F.slice("order", 1, (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
+    return order.select("id", "n", F.lit(-1).alias("sample"), F.explode(first).alias("one")).where("one.held > 1").select("id", "n", "sample", "one.fp")
 
 
 def _shingle_sets(rows: DataFrame, columns: str, width: int) -> DataFrame:
@@ -271,15 +288,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     At that similarity whole-text fingerprints differ in 10 bits or so, far beyond
     what a grid can hold, so candidates come from fingerprints of samples of shingles
-    as well, which must be equal. In each group of equal fingerprints every document
+    as well, which must be equal, and from the rarest shingles of documents with few,
+    which are prefixes that similar documents cannot but share. In each group every document
     is compared with the first one, on the whole sets; then those that no links
     connect so far are compared with each other. Rows without id are in no
     group, nor are texts without words unless there are several; rows with one id are
     one document.
     """
     small_batches(docs.sparkSession)
-    found = materialize(_samples(docs, id_col, text_col, width))
+    found = materialize(_samples(docs, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()))
     each = found.select("id", "n", F.posexplode("fps").alias("sample", "fp"))
+    each = each.unionByName(materialize(_rarest(found, similarity)))
     firsts = each.groupBy("sample", "fp").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     firsts = materialize(firsts.select("sample", "fp", F.col("first.id").alias("b"), F.col("first.n").alias("m")))
     pairs = each.join(firsts, ["sample", "fp"]).where("id <> b").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))

@@ -199,6 +199,22 @@ def test_every_group_is_searched_fully(spark, monkeypatch, part):
     assert heads != root  # the first documents alone do not find them
 
 
+def test_near_duplicates_of_short_texts_are_brute_force(spark):
+    r = random.Random(12)
+    texts = []
+    for k in range(70):
+        words = [f"s{k}w{i}" for i in range(r.randint(5, 20))]
+        if k % 3 == 0:
+            words = "a line that many of them have".split() + words
+        more = words + [f"t{k}"]
+        texts += [" ".join(words), " ".join(more), " ".join(more[2:]), " ".join([f"u{k}", f"x{k}", *words])]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "one", "ONE", "one two", "", None]
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in enumerate(texts) if (w := (t or "").lower().split())}
+    root = reach(range(len(texts)), [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8] + [(len(texts) - 2, len(texts) - 1)])
+    got = {x["id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in root} == root and sum(root[i] != i for i in root) > 60
+
+
 def test_near_dedup_keeps_columns_and_rows(messy, empty):
     out = simhash.near_dedup(messy)
     assert out.columns == messy.columns

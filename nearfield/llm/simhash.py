@@ -10,6 +10,10 @@ pairs: a fingerprint names, for each shared cell, the 64-bit strings in that cel
 which differ from it in one bit or none; two fingerprints differ in at most 2 bits
 just when they name a common string. At most 65 fingerprints can name one string, so
 no group is large, and the links are stars.
+
+All that is simhash_components(). near_duplicates() links by Jaccard similarity and uses
+neither the grid nor Hamming distances: its candidates are equal fingerprints of min-wise
+samples and of whole texts, and common rare shingles of short texts.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.sources.shared import materialize
+from nearfield.sources.shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,25 +19,28 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not left.isEmpty():
         both = left.union(left.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        hook = materialize(hook)
+        first = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        first = hook = materialize(first)
         for _ in range(2):
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             hook = hook.join(up, "p").select("u", F.col("pp").alias("p"))
         hook = materialize(hook)
         at_u = hook.select("u", F.col("p").alias("pu"))
         at_v = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        left = materialize(
+        rest = materialize(
             left.join(at_u, "u").join(at_v, "v").where("pu <> pv")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         )
+        discard(left, first)
+        left = rest
         if found is None:
             found = hook
         else:
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            found = materialize(found.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
+            longer = materialize(found.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p")))
+            discard(found, hook)
+            found = longer
     if found is None:
         return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    discard(left)
     return found.select(F.col("u").alias("node"), F.col("p").alias("component"))
-
-

@@ -6,9 +6,10 @@ text can ever yield one. In the text view control strings that occur in content
 escaped reversibly. The loss mask comes from marks +1 and -1 at the borders of
 assistant texts, summed up along the sequence.
 
-A turn is encoded where it lies; conversations are then brought together by their id
-and read in the order of their turns as a stream, never gathered: a conversation with
-a third of all turns needs no more memory than another.
+A turn is encoded, and read back, where it lies. For the digests of conversations what
+was read is brought together by conversation and hashed in the order of the turns as a
+stream, never gathered: a conversation with a third of all turns needs no more memory
+than another, and its one task does nothing but hash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import pick, small_batches
+from nearfield.llm.common import pick, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary, and the template.
@@ -34,8 +35,6 @@ OTHER_END = "</s>"
 #: The first character of a control string, backslashes, the rest of it.
 GUARDED = r"([\[<])(\\*)(/?INST\]|/?ROLE\]|/?s>|</?SYS>>)"
 GUARDED_TOO_OFTEN = r"([\[<])\\(\\*)(/?INST\]|/?ROLE\]|/?s>|</?SYS>>)"
-#: Longer texts are encoded in parts; the ids still decode to the whole text.
-PART = 50_000
 
 
 def escape(text: str) -> str:
@@ -70,7 +69,7 @@ class Codec:
         return cls._made[digest]
 
     def encode(self, text: str) -> list[int]:
-        return [i for at in range(0, len(text), PART) for i in self.encoding.encode_ordinary(text[at : at + PART])]
+        return self.encoding.encode_ordinary(text)
 
     def turn(self, role: str, text: str) -> tuple[list[int], list[int]]:
         """The ids of a turn, and for each id whether it counts for the loss."""
@@ -118,71 +117,97 @@ def load_ranks(spark: SparkSession, path: str):
 
 
 def format_chat(turns: DataFrame, shared, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role_order, text_order, ids, mask): a row for each turn, brought
-    together by conversation and sorted by turn within each partition; the sequence
-    of a conversation is the ids of its rows in that order.
-
-    Null texts and roles count as empty. Rows of one turn number follow each other by
-    role, then text. A null conversation id is a conversation of its own; an empty
-    table gives no rows. Any role is kept; user, system and assistant have marks of
-    their own.
+    """(conv_id, turn, role_order, text_order, ids, mask), a row for each turn, where it
+    lies. The sequence of a conversation is the ids of its rows in the order of these
+    columns (see in_order); text_order is the md5 of the text.
+
+    Null texts and roles count as empty; whole texts are encoded, however long. Rows
+    of one turn number follow each other by role, then md5 of the text; a null turn
+    comes before all others, and repeated rows stay. A null conversation id is a
+    conversation of its own; an empty table gives no rows. Any role is kept; user,
+    system and assistant have marks of their own.
     """
-    small_batches(turns.sparkSession)
     rows = pick(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("text_order", F.md5("text"))
     kinds = dict(rows.dtypes)
 
     def encode(batches):
         codec = Codec.of(shared)
-        for b in batches:
+        for b in slices(batches):
             made = [codec.turn(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
             ids = pa.array([m[0] for m in made], pa.list_(pa.int32()))
             mask = pa.array([m[1] for m in made], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), ids, mask], names=["conv_id", "turn", "role_order", "text_order", "ids", "mask"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "turn", "role", "text_order")), ids, mask], names=["conv_id", "turn", "role_order", "text_order", "ids", "mask"])
 
-    made = rows.mapInArrow(encode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role_order string, text_order string, ids array<int>, mask array<tinyint>")
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_order", "text_order")
+    return rows.mapInArrow(encode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role_order string, text_order string, ids array<int>, mask array<tinyint>")
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """The rows of format_chat, or of read_chat, by conversation and in the order of
+    its turns within a partition."""
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_order", "text_order")
+
+
+def read_chat(formatted: DataFrame, shared) -> DataFrame:
+    """(conv_id, turn, role_order, text_order, role, text, loss, chars, tokens,
+    loss_tokens) of each turn, read back from its ids and mask alone: the text under
+    the mask is ``loss``, null where it is just the text."""
+    kinds = dict(formatted.dtypes)
+    order = ["conv_id", "turn", "role_order", "text_order"]
+
+    def parse(batches):
+        codec = Codec.of(shared)
+        for b in slices(batches):
+            out = []
+            for ids, mask in zip(b.column("ids"), b.column("mask")):
+                ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
+                role, text, loss, chars = codec.parse(ids, mask)
+                out.append((role, text, None if loss == text else loss, chars, len(ids), int(mask.sum())))
+            cols = list(zip(*out)) or [()] * 6
+            types = [pa.string()] * 3 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in order), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*order, "role", "text", "loss", "chars", "tokens", "loss_tokens"])
+
+    return formatted.mapInArrow(parse, ", ".join(f"{c} {kinds[c]}" for c in order) + ", role string, text string, loss string, chars long, tokens long, loss_tokens long")
 
 
 def digest_chat(formatted: DataFrame, shared) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    n_tokens, n_loss_tokens), a row for each conversation, read back from the ids and
-    masks of ``format_chat``."""
+    n_tokens, n_loss_tokens), a row for each conversation, of what read_chat reads back
+    from the ids and masks of ``format_chat``."""
     kind = dict(formatted.dtypes)["conv_id"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
+    types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def digest(batches):
-        codec, now, state, out = Codec.of(shared), None, None, []
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
+        now, out, id_type = None, [], None
 
         def close():
-            out.append([now[0], state[0], state[4].hexdigest(), state[1], state[5].hexdigest(), *state[2:4], state[6]])
+            out.append([now[0], n[0], turns.hexdigest(), n[1], losses.hexdigest(), *n[2:]])
 
-        types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-
-        def flush(id_type):
+        def flush():
             cols = list(zip(*out))
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(cols, types)], names=names)
 
-        id_type = None
-        for b in batches:
+        for b in slices(batches):
             id_type = b.schema.field("conv_id").type
-            for conv, ids, mask in zip(b.column("conv_id").to_pylist(), b.column("ids"), b.column("mask")):
+            for conv, role, text, loss, *counts in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "chars", "tokens", "loss_tokens"))):
                 if now != (conv,):
                     if now is not None:
                         close()
-                    now, state = (conv,), [0, 0, 0, 0, hashlib.sha256(), hashlib.sha256(), 0]
-                ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
-                role, text, loss, chars = codec.parse(ids, mask)
-                state[4].update(f"{role}\n{text}\n".encode())
-                state[5].update(loss.encode())
-                for i, n in ((0, 1), (1, len(loss)), (2, chars), (3, len(ids)), (6, int(mask.sum()))):
-                    state[i] += n
+                    now, turns, losses, n = (conv,), hashlib.sha256(), hashlib.sha256(), [0] * 5
+                loss = text if loss is None else loss
+                turns.update(f"{role}\n{text}\n".encode())
+                losses.update(loss.encode())
+                for i, x in enumerate((1, len(loss), *counts)):
+                    n[i] += x
             if len(out) >= 1000:
-                yield flush(id_type)
+                yield flush()
         if now is not None:
             close()
         if out:
-            yield flush(id_type)
+            yield flush()
 
-    return formatted.select("conv_id", "ids", "mask").mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    read = in_order(read_chat(formatted, shared)).select("conv_id", "role", "text", "loss", "chars", "tokens", "loss_tokens")
+    return read.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")

@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.components import components
-from nearfield.sources.shared import materialize, shared_dir
+from nearfield.sources.shared import discard, materialize, shared_dir
 
-__all__ = ["ascii_lower", "bounded_sample", "components", "materialize", "pick", "read", "running_sum", "shared_dir", "small_batches", "word_count"]
+__all__ = ["ascii_lower", "bounded_sample", "components", "discard", "materialize", "pick", "read", "running_sum", "shared_dir", "slices", "word_count"]
 
 #: The letters that normalising changes. Words are runs of characters
 #: other than space and the five control characters from tab to carriage return.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD, BETWEEN = r"[^\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,18 +32,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
-def small_batches(spark: SparkSession, rows: int = 100) -> None:
-    """Python workers get at most ``rows`` texts at a time, so that long texts fit."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches, rows: int = 100):
+    """The Arrow batches of a task in slices of ``rows``: what a function makes of one
+    slice it yields before the next. Spark bounds the bytes of a batch itself
+    (spark.sql.execution.arrow.maxBytesPerBatch), so long texts fit as well."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def word_count(text: Column) -> Column:
-    """The number of words of the whole text; null: 0."""
-    # bytes.split() without an argument parts at just those six separators
-    count = F.pandas_udf(lambda texts: texts.map(lambda t: len(t.encode("utf-8", "surrogatepass").split())), "long")
-    return count(F.coalesce(text, F.lit("")))
+    """The number of words of the whole text; null: 0. One pass makes each word one
+    letter, so no list of words is built."""
+    letters = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), BETWEEN, "")
+    return F.length(letters).cast("long")
 
 
 def running_sum(df: DataFrame, group: str, key: str, ties: list[str], value: str, into: str, rows_per_bucket: int = 50_000) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, pick, running_sum, small_batches, word_count
+from nearfield.llm.common import materialize, pick, running_sum, word_count
 
 #: The production parameters.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -58,8 +58,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``row_col`` names a column with another whole number for each row; the result has
     it too, so that rows which share an id, or have none, can be told apart.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     given = pick(docs, id=id_col, source=source_col, text=text_col, **({"row": row_col} if row_col else {}))
     row = F.col("row") if row_col else F.monotonically_increasing_id()
     sized = given.select("id", "source", word_count(F.col("text")).alias("size"), row.alias("row"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, pick, running_sum, small_batches, word_count
+from nearfield.llm.common import materialize, pick, running_sum, word_count
 
 #: The production parameters: permitted lengths, and what a sequence costs besides.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 16
@@ -66,8 +66,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
     often as they occur, null ids like others; an empty table gives no rows. Plain
     order within a length is that of md5(id), so reruns give the same bins.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     most = max(capacities)
     given = pick(docs, id=id_col, **({"words": length_col} if length_col else {"text": text_col}))
     words = F.coalesce(F.col("words").cast("long"), F.lit(0).cast("long")) if length_col else word_count(F.col("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_sample, pick, small_batches
+from nearfield.llm.common import bounded_sample, pick, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The production parameters: documents that training reads at most, characters
@@ -222,14 +222,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samp
     texts = few.where(nodes).groupBy("id").agg(F.max("text").alias("text")).select("text").orderBy(F.md5("text")).limit(sample)
 
     def lines(batches):  # what holds candidates, and as much around as the chain spans
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 c = candidates(t, base_spans(t))
                 out.append("\n".join(t[max(0, s - NEAR) : e + NEAR] for s, e in c.spans[:50]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
-    small_batches(docs.sparkSession)
     return train(sorted(r["text"] for r in texts.mapInArrow(lines, "text string").collect()))
 
 
@@ -245,12 +244,11 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     Whole texts are read. A null text is empty and has no spans; null ids and repeated
     rows are kept; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col)
     names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *["masked"] * with_text]
 
     def found(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 text = text or ""

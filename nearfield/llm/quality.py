@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_sample, pick, small_batches
+from nearfield.llm.common import bounded_sample, pick, slices
 
 #: Labelled documents of each label that training reads at most, its steps, and the
 #: lines of a chain in training (longer documents make several; scoring cuts nothing).
@@ -185,7 +185,6 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows whose crc32(id as text) mod 3 is not 1, at most
     ``sample`` documents of each label. Null labels and null ids teach nothing."""
-    small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(~held_out(F.col("id")))
     marks = marks.where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = [bounded_sample(marks.where(F.col("label") == c), marks.where(F.col("label") == c).select("id"), "id", sample) for c in (0, 1)]
@@ -193,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def features(batches):
-        for b in batches:
+        for b in slices(batches):
             made = [line_features(t) for t in b.column("text").to_pylist()]
             x = pa.array([m[0].astype(np.float32).tobytes() for m in made], pa.binary())
             n = pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())
@@ -212,7 +211,6 @@ def held_out(id_):
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1, higher is better) of each whole text in
     ``into``. Null and empty texts have the score of one empty line."""
-    small_batches(docs.sparkSession)
     of = F.pandas_udf(lambda texts: texts.map(model.score), "double")
     return docs.withColumn(into, of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import components, materialize, pick, small_batches
+from nearfield.llm.common import components, materialize, pick, slices
 
 #: Fixed values of the query: words of a shingle, seed of XXH64.
 SHINGLE, SEED = 3, 42
@@ -73,11 +73,10 @@ def signed(values) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fp) for each row; fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col)
 
     def made(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = signed([majority(shingle_hashes(t, width)) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], names=["id", "fp"])
 
@@ -139,7 +138,7 @@ def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     factors = random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def made(batches):
-        for b in batches:
+        for b in slices(batches):
             n, out, few = [], [], []
             for text in b.column("text").to_pylist():
                 parts = list(shingle_hashes(text, width)) or [np.zeros(0, dtype=np.uint64)]
@@ -178,7 +177,7 @@ def _shingle_sets(rows: DataFrame, columns: str, width: int) -> DataFrame:
     names = [c.split()[0] for c in columns.split(", ")]
 
     def made(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 parts = list(shingle_hashes(text, width)) or [np.zeros(0, dtype=np.uint64)]
@@ -270,7 +269,7 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
             return pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
         key, held, kind = None, [], None
-        for b in batches:
+        for b in slices(batches):
             kind = b.schema.field("id").type
             rest = zip(*(b.column(c).to_pylist() for c in ("sample", "fp", "block", "alone", "side", "id", "component")))
             for r, (*k, alone, side, i, c) in enumerate(rest):
@@ -299,7 +298,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group, nor are texts without words unless there are several; rows with one id are
     one document.
     """
-    small_batches(docs.sparkSession)
     found = materialize(_samples(docs, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()))
     each = found.select("id", "n", F.posexplode("fps").alias("sample", "fp"))
     each = each.unionByName(materialize(_rarest(found, similarity)))
@@ -319,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compare(batches):
         head, first = None, None
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for i, (key, part, role) in enumerate(zip(b.column("b").to_pylist(), b.column("part").to_pylist(), b.column("role").to_pylist())):
                 have = b.column("shingles")[i].values.to_numpy()

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, pick, small_batches
+from nearfield.llm.common import materialize, pick, slices
 
 #: The production parameters: words of a window and of an anchor. A context has
 #: WINDOW - GRAM + 1 windows at most, which must be 63 or fewer.
@@ -100,14 +100,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < window - gram + 1 <= 63:
         raise ValueError("a context must have 1 to 63 windows")
-    spark = docs.sparkSession
-    small_batches(spark)
     given = pick(docs, id=id_col, text=text_col)
     id_type = dict(given.dtypes)["id"]
     given = given.withColumn("code", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     def anchors(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for i, code, text in zip(b.column("id").to_pylist(), b.column("code").to_pylist(), b.column("text").to_pylist()):
                 words = _split((text or "").encode("utf-8", "surrogatepass"))
@@ -133,7 +131,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             out = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("code"), pa.array(out, pa.binary())], names=["id", "code", "packed"])
 
@@ -141,7 +139,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def extend(batches):
         unzip = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             cs, out = b.column("cs"), []
             for r, (i, raw) in enumerate(zip(b.column("id").to_pylist(), b.column("packed").to_pylist())):
                 hashed = Hashed(_split(unzip.decompress(raw)))
@@ -171,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def remove(batches):
         unzip = zstandard.ZstdDecompressor()
         bits = np.arange(63)
-        for b in batches:
+        for b in slices(batches):
             rs, out = b.column("rs"), []
             for r, raw in enumerate(b.column("packed").to_pylist()):
                 words = _split(unzip.decompress(raw))

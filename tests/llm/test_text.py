@@ -45,17 +45,23 @@ def test_a_turn_reads_back(role, text):
 def digests(turns):
     out = {}
     for conv in {t[0] for t in turns}:
-        mine = sorted(((t, r or "", x or "") for c, t, r, x in turns if c == conv), key=lambda t: (t[0] is not None, t))
+        mine = sorted(((t, r or "", x or "") for c, t, r, x in turns if c == conv), key=lambda t: (t[0] is not None, t[0] or 0, t[1], hashlib.md5(t[2].encode()).hexdigest()))
         loss = "".join(x for _, r, x in mine if r == "assistant")
         out[conv] = (len(mine), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
 
 
 def test_conversations_read_back(spark, ranks):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a"), (1, 2, None, None), (2, 0, "assistant", None), (None, 0, "tool", "x" * 130_000), (3, 5, "system", "be [\\INST] kind"), (3, 5, "system", "be [\\INST] kind"), (4, None, "user", "no turn")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a"), (1, 2, None, None), (2, 0, "assistant", None), (None, 0, "tool", "x" * 130_000), (3, 5, "system", "be [\\INST] kind"), (3, 5, "system", "be [\\INST] kind"), (4, None, "user", "no turn"), (4, 0, "user", "after it")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("*", *[F.lit(1).alias(c) for c in ("ids", "mask", "role_order")])
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digest_chat(chat.format_chat(df, ranks), ranks).collect()}
     assert got == digests(turns)
+    long = "x" * 130_000 + " " + "Ein langer Text, 12 times. " * 4000
+    ids, mask = next((r["ids"], r["mask"]) for r in chat.format_chat(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"), ranks).collect())
+    encoding = chat.Codec(ranks[1].value).encoding
+    assert ids[1:-1] == encoding.encode_ordinary(long) and mask == [0] + [1] * (len(ids) - 2) + [0]
+    ordered = [(r["conv_id"], r["turn"]) for r in chat.in_order(chat.format_chat(df.where("conv_id = 1"), ranks)).collect()]
+    assert ordered == [(1, 0), (1, 1), (1, 1), (1, 2)]
     assert chat.digest_chat(chat.format_chat(df.where("1 = 0"), ranks), ranks).count() == 0
 
 

@@ -1,15 +1,18 @@
 """Near duplicates by SimHash, linked through a segment-popcount embedding.
 
-A 64-bit fingerprint maps to the numbers of set bits in 16 segments of 4. The
+A 64-bit fingerprint maps to the numbers of set bits in 32 segments of 2. The
 Manhattan distance of two such vectors is a lower bound of the Hamming distance, so
 fingerprints that differ in 2 bits or fewer lie within distance 2 of each other in
-the grid of vectors, and both within distance 1 of a common cell. Each distinct
-fingerprint is put into its own cell and its neighbours at distance 1 (33 at most),
-and only cells that two fingerprints share go on. Verification is exact and without
-pairs: a fingerprint names, for each shared cell, the 64-bit strings in that cell
-which differ from it in one bit or none; two fingerprints differ in at most 2 bits
-just when they name a common string. At most 65 fingerprints can name one string, so
-no group is large, and the links are stars.
+the grid of vectors, and both within distance 1 of a common cell. The range join puts
+each distinct fingerprint into its own cell and its neighbours at distance 1 (65 at
+most), joins on the cells that several share, and takes the pairs within distance 2 as
+candidates; each is verified by its Hamming distance within the join. Equal texts are
+one fingerprint from the start. A cell with many fingerprints is cut into parts, and
+each pair of parts is joined under a key of its own.
+
+Segments of 2 and not of 4 or 8: unrelated fingerprints are within distance 2 with a
+probability of 2e-11, against 4e-7 for 16 segments of 4, so that the candidates of
+10**10 fingerprints are about as many as these.
 
 All that is simhash_components(). near_duplicates() links by Jaccard similarity and uses
 neither the grid nor Hamming distances: its candidates are equal fingerprints of min-wise
@@ -21,14 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import components, materialize, pick, slices
+from nearfield.llm.common import components, discard, materialize, pick, slices
 
 #: Fixed values of the query: words of a shingle, seed of XXH64.
 SHINGLE, SEED = 3, 42
-SEGMENT = 4
+#: Fingerprints of a cell that one key of the range join has on each side, about.
+CELL_PART = 512
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity, and
 #: the samples: how many, and shingles in each. A pair at the least similarity shares
 #: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998, and less for few shingles:
@@ -83,29 +87,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(made, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
+#: The even bits of a long: where the segments of 2 bits begin.
+_EVEN = 0x5555555555555555
+
+
+def popcounts(fp: str) -> Column:
+    """The numbers of set bits in the 32 segments, 2 bits each, as one long."""
+    return F.expr(f"(({fp} ^ shiftrightunsigned({fp}, 1)) & {_EVEN}L) | shiftleft({fp} & shiftrightunsigned({fp}, 1) & {_EVEN}L, 1)")
+
+
+def grid(fps: DataFrame) -> DataFrame:
+    """(fp, cell, way): the cell of the popcounts of each fingerprint (way 0), and the
+    cells at distance 1: one bit more in segment number way - 1, or one bit fewer in
+    segment number -way - 1."""
+    held = fps.select("fp", popcounts("fp").alias("own"), F.explode(F.sequence(F.lit(-32), F.lit(32))).alias("way"))
+    held = held.withColumn("at", F.expr("cast(2 * (abs(way) - 1) as int)")).withColumn("count", F.expr("CASE WHEN way = 0 THEN 0 ELSE shiftrightunsigned(own, at) & 3L END"))
+    # what changes a count of two bits to the next: 0 and 1 differ in 1, 1 and 2 in 3
+    step = F.expr("CASE WHEN way = 0 THEN 0L WHEN way > 0 AND count = 0 OR way < 0 AND count = 1 THEN 1L WHEN way > 0 AND count = 1 OR way < 0 AND count = 2 THEN 3L END")
+    held = held.withColumn("step", step).where("step is not null")
+    return held.select("fp", F.expr("CASE WHEN way = 0 THEN own ELSE own ^ shiftleft(step, at) END").alias("cell"), F.col("way").cast("byte").alias("way"))
+
+
 def hamming_links(fps: DataFrame) -> DataFrame:
-    """(u, v): stars that connect just the fingerprints (distinct, column fp) which a
-    chain of steps of 2 bits or fewer connects."""
-    segments = 64 // SEGMENT
-    bits = lambda s: F.bit_count(F.shiftrightunsigned("fp", SEGMENT * s).bitwiseAND(F.lit(15).cast("long"))).cast("long")
-    step = lambda s: F.lit(1 << (4 * s)).cast("long")
-    own = sum((bits(s) * step(s) for s in range(segments)), F.lit(0).cast("long"))
-    held = fps.select("fp", own.alias("own"))
-    # a segment number from 1 on, above zero where a bit is added, below where one goes
-    ways = [F.struct(F.col("own").alias("cell"), F.lit(0).cast("byte").alias("way"))]
-    for s in range(segments):
-        count = F.shiftrightunsigned("own", 4 * s).bitwiseAND(F.lit(15).cast("long"))
-        ways.append(F.when(count < SEGMENT, F.struct((F.col("own") + step(s)).alias("cell"), F.lit(s + 1).cast("byte").alias("way"))))
-        ways.append(F.when(count > 0, F.struct((F.col("own") - step(s)).alias("cell"), F.lit(-s - 1).cast("byte").alias("way"))))
-    cells = held.select("fp", F.explode(F.array(*ways)).alias("c")).where("c is not null").select("fp", "c.cell", "c.way")
-    shared = materialize(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell"))
-    near = cells.join(shared, "cell")
-    names = F.expr(f"""CASE WHEN way = 0 THEN array(fp) ELSE transform(
-        filter(sequence(0, {SEGMENT - 1}), i -> ((shiftrightunsigned(fp, {SEGMENT} * (abs(way) - 1) + i) & 1L) = 1L) = (way < 0)),
-        i -> fp ^ shiftleft(1L, {SEGMENT} * (abs(way) - 1) + i)) END""")
-    named = near.select("fp", F.explode(names).alias("name")).groupBy("name").agg(F.collect_list("fp").alias("fps"))
-    stars = named.where("size(fps) > 1").select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))
-    return stars.where("u <> v").distinct()
+    """(u, v): the pairs of fingerprints (distinct, column fp) that differ in 2 bits or
+    fewer, u < v."""
+    cells = grid(fps)
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts")))
+    met = materialize(cells.join(shared, "cell").withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")))
+    left = met.select("cell", F.col("own").alias("i"), F.explode(F.expr("sequence(own, parts - 1)")).alias("j"), F.col("fp").alias("a"), F.col("way").alias("way_a"))
+    right = met.select("cell", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("fp").alias("b"), F.col("way").alias("way_b"))
+    # with one way, not 0, into a cell both are in one cell, where they meet as well
+    candidates = left.join(right, ["cell", "i", "j"]).where("(i < j or a < b) and a <> b and (way_a = 0 or way_b = 0 or way_a <> way_b)")
+    verified = candidates.where("bit_count(a ^ b) <= 2")
+    links = materialize(verified.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    discard(shared, met)
+    return links
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -119,15 +136,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width))
     firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    found = materialize(components(hamming_links(firsts.select("fp"))))
-    label = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    label = materialize(label)
-    least = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = materialize(label.join(least, "component").select("fp", "component_id"))
+    links = hamming_links(firsts.select("fp"))
+    found = components(links)
+    node = materialize(firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = node.groupBy("component").agg(F.min("first").alias("component_id"))
+    label = materialize(node.join(least, "component").select("fp", "component_id"))
+    discard(firsts, links, node)
     named = rows.join(label, "fp")
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _sampled(whole: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The fingerprints of the samples of a set of shingles, all samples at once: each
+    factor orders the shingles in its own way."""
+    if len(whole) <= SAMPLE_SIZE:
+        return np.repeat(np.uint64(majority([whole])), len(factors))
+    taken = []
+    for some in np.array_split(factors, max(1, len(factors) * len(whole) >> 16)):  # 65,536 values at a time
+        order = whole[None, :] * some[:, None]
+        order ^= order >> np.uint64(29)
+        order *= some[:, None]
+        taken.append(whole[np.argpartition(order, SAMPLE_SIZE, axis=1)[:, :SAMPLE_SIZE]])
+    taken = np.ascontiguousarray(np.concatenate(taken))
+    bits = np.unpackbits(taken.view(np.uint8).reshape(len(factors), SAMPLE_SIZE, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > SAMPLE_SIZE, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, n, fps, few): the number of different shingles, and a fingerprint of each
     of SAMPLES samples, the shingles with the SAMPLE_SIZE smallest values under the
@@ -145,13 +179,7 @@ def _samples(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 whole = np.unique(np.concatenate(parts))
                 n.append(len(whole))
                 few.append(signed(whole if len(whole) <= FEW else whole[:0]))
-                fps = []
-                for f in factors:
-                    order = whole * f
-                    order ^= order >> np.uint64(29)
-                    order *= f
-                    take = np.argpartition(order, SAMPLE_SIZE)[:SAMPLE_SIZE] if len(whole) > SAMPLE_SIZE else slice(None)
-                    fps.append(majority([whole[take]]))
+                fps = _sampled(whole, factors)
                 out.append(signed([*fps, majority(parts)]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], names=["id", "n", "fps", "few"])
 

@@ -248,6 +248,22 @@ def test_embeddings_are_brute_force(spark, part):
     assert sum(w[0] for w in want.values()) > 300
 
 
+def test_embeddings_of_several_lengths_are_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        d = 3 + i % 3
+        v = np.eye(d)[i // 200 % d] * 5 + r.standard_normal(d) * 0.3
+        rows.append((i, v.tolist(), 1))
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = vector_want(rows)
+    assert sum(w[0] for w in want.values()) > 10_000
+    # few dimensions leave a pair near the threshold a chance to meet nowhere
+    counted = {x["vec_id"]: x["n_links"] for x in got}
+    assert sum(counted.values()) >= 0.99 * sum(w[0] for w in want.values()) and all(counted[i] <= want[i][0] for i in want)
+    assert {x["vec_id"]: x["component_id"] for x in got} == {i: w[1] for i, w in want.items()}
+
+
 def test_embeddings_messy(spark):
     from pyspark.sql import functions as F
 

@@ -6,9 +6,9 @@ weights for pairs of neighbouring labels. Forward-backward gives each line the
 probability that it is good; their average, weighted by the lines' lengths, is the
 document's quality, which a logistic curve turns into its score.
 
-Training reads a bounded sample of labelled documents (SAMPLE of each label) and takes
-a document's label as that of all its lines. No label, language, source or id is an
-input of a score.
+Training reads a bounded sample of labelled documents (SAMPLE of each label, CHAINS
+chains of CHAIN lines of each) and takes a document's label as that of all its lines.
+No label, language, source or id is an input of a score, and scoring cuts nothing.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import bounded_sample, pick, slices
 
-#: Labelled documents of each label that training reads at most, its steps, and the
-#: lines of a chain in training (longer documents make several; scoring cuts nothing).
-SAMPLE, STEPS, CHAIN = 1500, 100, 64
+#: What bounds training: labelled documents of each label, lines of a chain, and chains
+#: of a document, spread evenly over it from its first line to its last. The driver gets
+#: 2 * SAMPLE * CHAINS * CHAIN lines of N_FEATURES numbers of 4 bytes at most: 90 MB.
+SAMPLE, STEPS, CHAIN, CHAINS = 1500, 100, 64, 2
 
 _KIND = np.full(256, 6, dtype=np.int64)  # bytes of other scripts
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\f\v", b".,;:'\"?()-")):
@@ -73,6 +74,14 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return out, length + 1
 
 
+def chains(lines: int) -> np.ndarray:
+    """Which of so many lines training reads."""
+    if lines <= CHAIN * CHAINS:
+        return np.arange(lines)
+    starts = np.linspace(0, lines - CHAIN, CHAINS).astype(np.int64)
+    return (starts[:, None] + np.arange(CHAIN)).reshape(-1)
+
+
 @dataclass
 class Model:
     """``weights`` of a line's features for good against bad; ``pairs`` the weights of
@@ -115,8 +124,6 @@ def _log_ratio(a: float, b: float, c: float, d: float) -> float:
     return _log_add(a, b) - _log_add(c, d)
 
 
-
-
 def train(docs: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS) -> Model:
     """From (label, features, lengths) of each document; the likelihood of all lines
     having their document's label, classes weighted equally, by Adam."""
@@ -184,16 +191,22 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS) ->
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows whose crc32(id as text) mod 3 is not 1, at most
-    ``sample`` documents of each label. Null labels and null ids teach nothing."""
+    ``sample`` documents of each label and of each the lines of ``chains``. Of several
+    labels of one id the largest counts, of several texts that with the least md5. Null
+    labels and null ids teach nothing."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(~held_out(F.col("id")))
     marks = marks.where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = [bounded_sample(marks.where(F.col("label") == c), marks.where(F.col("label") == c).select("id"), "id", sample) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # two times sample rows at most
-    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("md5"), "text")).alias("t")).select("id", "label", "t.text")
 
     def features(batches):
         for b in slices(batches):
-            made = [line_features(t) for t in b.column("text").to_pylist()]
+            made = []
+            for text in b.column("text").to_pylist():
+                x, n = line_features(text)
+                made.append((x[chains(len(n))], n[chains(len(n))]))
             x = pa.array([m[0].astype(np.float32).tobytes() for m in made], pa.binary())
             n = pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), x, n], names=["id", "label", "x", "n"])

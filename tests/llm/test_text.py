@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm import chat, pii, quality
-from nearfield.llm.url_filter import MAX_BITS, RULES, Cascade, filter_urls
+from nearfield.llm.url_filter import MAX_BITS, RULES, Cascade, filter_urls, marked, with_listed
 from tests.conftest import SF
 from tests.llm.conftest import DOCS
 
@@ -77,7 +77,7 @@ def url_want(url):
     return host, path, max(fits)[1:] if fits else None
 
 
-@pytest.mark.parametrize("max_bits", [MAX_BITS, 8])
+@pytest.mark.parametrize("max_bits", [MAX_BITS, 256])
 def test_urls(spark, max_bits):
     urls = URLS + [f"http://h{i % 50}.example.com/p/{i}" for i in range(400)] + URLS[:5]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select("*", F.lit("z").alias("key"), F.lit("z").alias("host"), F.lit(1).alias("listed"))
@@ -92,10 +92,20 @@ def test_urls(spark, max_bits):
 
 def test_a_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
-    cascade = Cascade(keys.where("id % 9 = 4"), keys)
+    cascade = Cascade.of(keys.where("id % 9 = 4"), keys)
     assert len(cascade.levels) > 2
     assert keys.where(cascade.is_listed(F.col("key")) != (F.col("id") % 9 == 4)).count() == 0
-    assert Cascade(keys.where("id < 0"), keys).levels == []
+    assert Cascade.of(keys.where("id < 0"), keys).levels == []
+
+
+def test_shards_are_exact_and_no_level_is_beyond_the_bound(spark, monkeypatch):
+    sizes, words = [], Cascade._words
+    monkeypatch.setattr(Cascade, "_words", staticmethod(lambda keys, level, hashes, bits: sizes.append(bits) or words(keys, level, hashes, bits)))
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    table = marked(keys.where("id % 5 = 4"), keys)
+    got = with_listed(keys, table, 2000)
+    assert got.count() == 3000 and got.where(F.col("listed") != (F.col("id") % 5 == 4)).count() == 0
+    assert len(sizes) > 4 and max(sizes) <= 2000
 
 
 def plain_spans(text):
@@ -156,6 +166,16 @@ def test_marginals_are_those_of_all_labellings():
     assert np.allclose(model.marginals(x), good / total)
 
 
+def test_training_reads_a_bounded_part_of_a_document(spark, monkeypatch):
+    assert quality.chains(128).tolist() == list(range(128)) and quality.chains(0).tolist() == []
+    assert quality.chains(1000).tolist() == [*range(64), *range(936, 1000)]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda docs: seen.append([len(n) for _, _, n in docs]))
+    docs = spark.createDataFrame([(i // 4, "line\n" * (i * 100) + f"{i}") for i in range(12)] + [(2, None)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(0, 1), (2, 0), (2, None), (1, 1)], "doc_id long, quality int"))
+    assert len(seen[0]) == sum(zlib.crc32(b"%d" % i) % 3 != 1 for i in range(3)) and all(n <= 128 for n in seen[0])
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").collect()

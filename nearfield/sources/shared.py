@@ -35,13 +35,14 @@ def release(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *parts: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: its lineage ends
     there, it survives lost executors, and what is not a function of its rows alone
-    (row names) is fixed from then on."""
+    (row names) is fixed from then on. ``parts`` are columns that get folders of their
+    own, so that reading some of their values reads nothing else."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

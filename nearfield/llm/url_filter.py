@@ -9,8 +9,9 @@ membership exactly, and no table of keys is joined with the pages.
 Each level is an array of 64-bit words that is built by a grouped bit_or and used as
 a scalar subquery. Its size follows the list, not the corpus: the share of false
 positives of level 1 is chosen so that about as many keys enter level 2 as level 1
-has. ``max_bits`` bounds a level; with a longer list ``is_listed`` raises, and
-``listed_by_join`` is the way to go, exact as well.
+has. ``max_bits`` bounds a level: a longer list is cut by the hash of its keys into
+shards with a cascade each, and the pages' keys are looked up shard by shard, so that no
+task ever holds more than one shard's levels.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, UPPER, materialize
+from nearfield.llm.common import LOWER, UPPER, discard, materialize
 
 #: Production parameters: bits of a level at most (32 MB), and the bits of a key that
 #: levels after the first test.
@@ -56,25 +57,34 @@ def _positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [(low + high * i) % bits for i in range(hashes)]
 
 
+def bits_of_first(inside: int, outside: int) -> tuple[int, int]:
+    """(hashes, bits) of the first level for so many listed and other keys."""
+    hashes = max(1, math.ceil(math.log2(max(2.0, math.sqrt(2) * outside / max(1, inside)))))
+    return hashes, _bits(inside, hashes)
+
+
+def _bits(n: int, hashes: int) -> int:
+    return max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
+
+
 class Cascade:
-    """The levels built for ``listed`` over ``universe`` (one column key each)."""
+    """The levels for ``keys`` (key, listed): distinct keys, a written table."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS):
-        keys = universe.select("key").withColumn("listed", F.lit(False)).union(listed.select("key").withColumn("listed", F.lit(True)))
-        keys = materialize(keys.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
+    def __init__(self, keys: DataFrame):
         counts = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-        inside, outside = counts.get(True, 0), counts.get(False, 0)
-        hashes = max(1, math.ceil(math.log2(max(2.0, math.sqrt(2) * outside / max(1, inside)))))
+        hashes, bits = bits_of_first(counts.get(True, 0), counts.get(False, 0))
         self.levels: list[tuple[int, int, DataFrame]] = []
-        n, encoded = inside, keys.where("listed")
-        rest = keys.where("not listed")
+        n, encoded, rest = counts.get(True, 0), keys.where("listed"), keys.where("not listed")
         while n:
-            bits = max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
-            if bits > max_bits:
-                raise ValueError(f"a level needs {bits} bits, above max_bits; use listed_by_join")
             self.levels.append((hashes, bits, self._words(encoded, len(self.levels) + 1, hashes, bits)))
             passing = materialize(rest.where(self._hit(F.col("key"), len(self.levels))))
             encoded, rest, n, hashes = passing, encoded, passing.count(), LATER_HASHES
+            bits = _bits(n, hashes)
+
+    @classmethod
+    def of(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
+        """The cascade for ``listed`` over ``universe`` (one column key each)."""
+        return cls(marked(listed, universe))
 
     @staticmethod
     def _words(keys: DataFrame, level: int, hashes: int, bits: int) -> DataFrame:
@@ -101,10 +111,32 @@ class Cascade:
         return F.coalesce(found & key.isNotNull(), F.lit(False))
 
 
-def listed_by_join(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """``pages`` with a boolean ``listed``, by an equi-join on ``key``: for lists
-    whose cascade is above the bound."""
-    return pages.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+def marked(listed: DataFrame, universe: DataFrame) -> DataFrame:
+    """(key, listed), the distinct keys of both, as a written table."""
+    keys = universe.select("key").withColumn("listed", F.lit(False)).union(listed.select("key").withColumn("listed", F.lit(True)))
+    return materialize(keys.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
+
+
+def with_listed(rows: DataFrame, keys: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``rows`` with a boolean ``listed`` for their column key; ``keys`` (see marked)
+    has all of those."""
+    counts = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+    need = bits_of_first(counts.get(True, 0), counts.get(False, 0))[1]
+    if need <= max_bits:
+        return rows.withColumn("listed", Cascade(keys).is_listed(F.col("key")))
+    shards = math.ceil(1.25 * need / max_bits)  # they do not come out all alike
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards)).cast("int").alias("_shard")
+    by_shard = lambda d: materialize(d.select("*", shard), "_shard")
+    keys, rows = by_shard(keys), by_shard(rows)
+    looked_up = []
+    for s in range(shards):
+        mine = Cascade(keys.where(F.col("_shard") == s).drop("_shard"))
+        looked_up.append(materialize(rows.where(F.col("_shard") == s).drop("_shard").withColumn("listed", mine.is_listed(F.col("key")))))
+    discard(keys, rows)
+    out = looked_up[0]
+    for more in looked_up[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", *, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
@@ -118,16 +150,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame | None = None, id_col: str =
     """
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
-    key = F.concat("host", "path")
-    universe = materialize(rows.select(key.alias("key")).distinct())
-    listed = sample_list(universe) if listed is None else listed
-    try:
-        member = Cascade(listed, universe, max_bits).is_listed(key)
-    except ValueError:
-        rows = listed_by_join(rows.withColumn("key", key), listed)
-        member = F.col("listed")
+    rows = rows.withColumn("key", F.concat("host", "path"))
+    universe = rows.select("key").distinct()
+    if listed is None:
+        universe = materialize(universe)
+        listed = sample_list(universe)
+    rows = with_listed(rows, marked(listed, universe), max_bits)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(member, "block").otherwise("allow")
+    method = F.when(F.col("listed"), "block").otherwise("allow")
     return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -132,15 +134,95 @@ def test_long_runs_are_quick():
         pii.base_spans(run)
 
 
-def test_skip_edges_find_a_repeated_number():
-    texts = [f"call +1 (679) 555-{n:04d} or write a{n}@b.co from 10.0.0.{n % 256}, order {n * 7919 % 10**8:08d}" for n in range(1000, 1200)]
-    field = pii.train(texts)
-    text = "call +1 (679) 555-1339 today. " + "word " * 60 + "again (679) 555-1339 please. " + "word " * 60 + "order 83920174 shipped"
+@pytest.fixture(scope="module")
+def field():
+    """Trained on made texts, some with repeats, secrets, and numbers that are nothing."""
+    texts = [f"call +1 (679) 555-{n:04d} or write a{n}@b.co from 10.0.0.{n % 256}, order {n * 7919 % 10**8:08d}, {n:04d}0000{n * 104729 % 10**8:08d}" for n in range(1000, 1200)]
+    texts += [f'card 4111111111111111 and token = "{hashlib.sha1(b"%d" % n).hexdigest()}" of build {hashlib.sha1(b"x%d" % n).hexdigest()}' for n in range(100)]
+    return pii.train([pii.candidates(t, pii.base_spans(t)) for t in texts])
+
+
+def added(field, text):
     base = pii.base_spans(text)
     every = field.spans(text, base)
-    assert set(base) <= set(every) and [text[s:e] for k, s, e in every if (k, s, e) not in base] == ["(679) 555-1339"]
-    clean = "order 83920174 and version 2.0.1 of 2024-01-01 12:00"
-    assert field.spans(clean, pii.base_spans(clean)) == []
+    assert set(base) <= set(every) and every == sorted(every)
+    return [(pii.LABELS[k + 1], text[s:e]) for k, s, e in every if (k, s, e) not in base]
+
+
+def test_skip_edges_find_what_is_repeated_in_another_form(field):
+    far, key = " word" * 60 + " ", hashlib.sha1(b"k").hexdigest()
+    assert added(field, "call +1 (679) 555-1339 today." + far + "again (679) 555-1339 please." + far + "order 83920174 shipped") == [("phone", "(679) 555-1339")]
+    assert added(field, "from 10.11.22.34" + far + "and 10-11-22-34" + far + "not 10-11-22-35") == [("ip", "10-11-22-34")]
+    assert added(field, "4111 1111 1111 1111" + far + "card 11111111 was charged" + far + "22222222") == [("card", "11111111")]
+    assert added(field, "anna.b7@mail.example.com" + far + "anna.b7@ as before" + far + "otto.c9@ too") == [("email", "anna.b7@")]
+    assert added(field, f'token = "{key}"' + far + f"see {key.upper()}" + far + hashlib.sha1(b"other").hexdigest()) == [("secret", key), ("secret", key.upper())]
+    for clean in ("order 83920174 and version 2.0.1 of 2024-01-01 12:00", "order 83920174, again order 83920174", f"commit {key} and again {key}", "a@b and 7536784127813050", ""):
+        assert added(field, clean) == []
+
+
+def exact_marginals(field, c):
+    """Over all labellings of the candidates that are not fixed."""
+    n, total = len(pii.LABELS), np.zeros((len(c.base), len(pii.LABELS)))
+    own = c.features @ field.unary
+    for labelling in itertools.product(*[[int(k)] if k else range(n) for k in c.base]):
+        w = sum(own[i, y] for i, y in enumerate(labelling) if not c.base[i]) + sum(field.pairs[k, labelling[a], labelling[b]] for a, b, k in c.edges)
+        for i, y in enumerate(labelling):
+            total[i, y] += np.exp(w)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_of_the_field(field):
+    r = np.random.default_rng(8)
+    n = len(pii.LABELS)
+    for seed in range(12):  # any weights; trees are exact
+        skip = r.standard_normal((n, n))
+        any_field = pii.Field(r.standard_normal((pii.N_FEATURES, n)) * 0.5, np.stack((r.standard_normal((n, n)), skip + skip.T)))
+        tree = np.array([(0, 1, 0), (1, 2, 0), (1, 4, 1), (2, 3, 1)])
+        c = pii.Candidates([], r.integers(0, 2, (5, pii.N_FEATURES)).astype(float), np.array([0, 0, seed % n, 0, 0]), np.zeros(5, dtype=int), tree)
+        assert np.allclose(any_field.marginals(c), exact_marginals(any_field, c), atol=1e-4)
+    loop = pii.candidates("+1 (679) 555-1339, (679) 555-1339, 10-11-22-34, (679) 555-1339; 10-11-22-34", pii.base_spans("+1 (679) 555-1339"))
+    assert len(loop.edges) > len(loop.base) - 1 and np.abs(field.marginals(loop) - exact_marginals(field, loop)).max() < 0.05
+
+
+def plain_added(field, text):
+    """Candidates by scanning and comparing all with all; labels from exact marginals."""
+    base = plain_spans(text)
+    found = [(m.start(), m.end()) for p in (pii._ADDRESS, pii._NUMBER, pii._OPAQUE) for m in p.finditer(text)]
+    digits = lambda x: sum(c in "0123456789" for c in x)
+    keep = lambda x: "@" in x or digits(x) >= 7 and (re.fullmatch(pii._NUMBER, x) or len(x) >= 16) or len(x) >= 16 and digits(x) > 0
+    found = [(s, e) for s, e in found if keep(text[s:e]) and ("@" in text[s:e] or not re.fullmatch(pii._OPAQUE, text[s:e]) or re.search("[a-z]", text[s:e].lower()) or re.fullmatch(pii._NUMBER, text[s:e]))]
+    free = sorted((s, -e) for s, e in found if not any(a < e and s < b for _, a, b in base))
+    nodes = [(a, b, k + 1) for k, a, b in base]
+    for s, e in free:
+        if not any(a < -e and s < b for a, b, k in nodes if not k):
+            nodes.append((s, -e, 0))
+    nodes.sort()
+    keys = [pii._key(text[s:e]) for s, e, _ in nodes]
+    edges = [(i - 1, i, 0) for i in range(1, len(nodes)) if nodes[i][0] - nodes[i - 1][1] <= pii.NEAR]
+    edges += [(i, j, 1) for j in range(len(nodes)) for i in range(j) if keys[i] == keys[j] and keys[j] not in keys[i + 1 : j]]
+    c = pii.Candidates([], np.array([pii._features(text, s, e) for s, e, _ in nodes]).reshape(-1, pii.N_FEATURES), np.array([k for *_, k in nodes], dtype=int), None, np.array(edges, dtype=int).reshape(-1, 3))
+    p = exact_marginals(field, c)
+    return [(pii.LABELS[q.argmax()], text[s:e]) for q, (s, e, k) in zip(p, nodes) if not k and q.argmax() and q.max() >= pii.MARGINAL]
+
+
+def test_spans_are_those_of_a_plain_field(field):
+    r = random.Random(11)
+    pieces = ["+1 (679) 555-1339", "(679) 555-1339", "anna.b7@mail.example.com", "anna.b7@", "10.11.22.34", "10-11-22-34", "7536784127813050", "4111111111111111", "11111111", 'token = "0123456789abcdef0123"', "0123456789abcdef0123", "2024-01-01 12:00", "x" * 90, "x" * 90, "x" * 90]
+    some = 0
+    for _ in range(60):
+        text = ", ".join(r.choice(pieces) for _ in range(r.randint(1, 7)))
+        want = plain_added(field, text)
+        assert sorted(added(field, text)) == sorted(want), text
+        some += len(want)
+    assert some > 30
+
+
+def test_a_long_text_teaches_a_bounded_number_of_candidates():
+    text = " ; ".join(f"{n * 7919 % 10**8:08d}" for n in range(500)) + " 10.0.0.1" * 30
+    whole = pii.candidates(text, pii.base_spans(text))
+    few = pii.bounded(whole, text, 40)
+    assert len(few.base) == 40 == len(few.features) and len(whole.base) > 40
+    assert pii.bounded(whole, text, 10**6) is whole and (few.edges[:, :2] < 40).all()
 
 
 def test_pii_of_messy_rows(spark, messy, empty):

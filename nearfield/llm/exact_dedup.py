@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_lower, materialize, pick
+from nearfield.llm.common import ascii_lower, discard, materialize, pick
 
 BLOCK_BYTES = 8192
 
@@ -76,6 +76,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = materialize(pairs.withColumn("b", F.coalesce("b", F.lit(-1))).withColumn("width", F.shiftright(F.col("width") + 1, 1)))
         names = _named(pairs.select("a", "b").distinct(), "a", "b")
         level = materialize(pairs.join(names, ["a", "b"]).select("row", "n_blocks", "at", "name", "width"))
+        discard(pairs, names)
         done = done.unionByName(level.where("width = 1").select("row", "n_blocks", "name"))
         level = level.where("width > 1")
     return rows.select("row", "id", "text_sha256").join(done, "row")

@@ -226,9 +226,9 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
     group = ["sample", "fp"]
     id_type = dict(rest.dtypes)["id"]
     label = materialize(components(links))
-    rest = rest.groupBy(*group, "id").agg(F.max("n").alias("n")).join(label.withColumnRenamed("node", "id"), "id", "left")
-    rest = materialize(rest.withColumn("component", F.coalesce("component", "id")))
-    apart = rest.groupBy(*group).agg(
+    all_ = rest.groupBy(*group, "id").agg(F.max("n").alias("n")).join(label.withColumnRenamed("node", "id"), "id", "left")
+    all_ = materialize(all_.withColumn("component", F.coalesce("component", "id")))
+    apart = all_.groupBy(*group).agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
     )
     # groups with the same members are searched once
@@ -236,7 +236,8 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
     apart = materialize(apart)
     if apart.isEmpty():
         return links.where("1 = 0")
-    rest = materialize(rest.join(apart, group))
+    rest = materialize(all_.join(apart, group))
+    discard(all_)
     fill = lambda: F.ceil(F.greatest(F.sum("members") / GROUP_PART, F.sum("n") / PART_SHINGLES)).cast("int")
     own = rest.groupBy(*group, "component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
     own = materialize(own.withColumn("large", (F.col("members") >= GROUP_PART) | (F.col("n") >= PART_SHINGLES)))
@@ -252,7 +253,7 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
     sides = sides.unionByName(blocks.where("i <> j").select(*group, "i", "j", F.col("j").alias("own"), F.lit(1).alias("side")))
     sides = sides.select(*group, F.md5(F.to_json(F.struct("i", "j"))).alias("block"), (F.col("i") == F.col("j")).alias("alone"), "side", F.col("own.of").alias("of"), F.col("own.part").alias("part"))
     rest = rest.join(own.select(*group, "component", "large"), [*group, "component"]).withColumn("of", F.when(F.col("large"), F.col("component")))
-    kinds = kinds.select(*group, F.col("component").alias("_of"), "parts")
+    kinds_, kinds = kinds, kinds.select(*group, F.col("component").alias("_of"), "parts")
     same = [rest[c] == kinds[c] for c in group]
     rest = rest.join(kinds, [*same, rest["of"].eqNullSafe(kinds["_of"])]).select(*(rest[c] for c in group), "id", "component", "of", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     rest = materialize(rest)
@@ -309,7 +310,9 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
         if pairs := search(held):
             yield record(pairs)
 
-    return materialize(dealt.mapInArrow(compare, f"u {id_type}, v {id_type}"))
+    found = materialize(dealt.mapInArrow(compare, f"u {id_type}, v {id_type}"))
+    discard(sets, rest, parts, own, kinds_, apart, label)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -360,8 +363,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = whole.repartition("b", "part").sortWithinPartitions("b", "part", "role")
     links = materialize(dealt.select("id", "b", "part", "role", "shingles").mapInArrow(compare, f"u {id_type}, v {id_type}"))
     rest = each.join(firsts, ["sample", "fp"]).where("id <> b").select("sample", "fp", "id", "n")
-    links = links.unionByName(_links_of_the_rest(rest, links, texts, width, similarity))
-    return components(links).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    more = _links_of_the_rest(rest, links, texts, width, similarity)
+    out = components(links.unionByName(more))
+    discard(found, firsts, pairs, parts, links)
+    return out.select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, pick, slices
+from nearfield.llm.common import discard, materialize, pick, slices
 
 #: The production parameters: words of a window and of an anchor. A context has
 #: WINDOW - GRAM + 1 windows at most, which must be 63 or fewer.
@@ -118,10 +118,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cover", "name", "id", "at"])
 
     # name: the anchor's 32 bits, then the number of windows; at: code, then word
-    seen = materialize(given.mapInArrow(anchors, "cover long, name long, id long, at long"))
+    every = materialize(given.mapInArrow(anchors, "cover long, name long, id long, at long"))
     anchor = F.shiftright("name", 6).alias("anchor")
-    common = materialize(seen.groupBy(anchor).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
-    seen = materialize(seen.withColumn("anchor", anchor).join(common, "anchor").drop("anchor"))
+    common = materialize(every.groupBy(anchor).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
+    seen = materialize(every.withColumn("anchor", anchor).join(common, "anchor").drop("anchor"))
+    discard(every, common)
     contexts = materialize(seen.groupBy("cover", "name").agg(F.min(F.struct("id", "at")).alias("m")).select("cover", "name", "m.id", "m.at"))
     several = contexts.groupBy(anchor).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
     several = materialize(several)
@@ -160,7 +161,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = materialize(windows.groupBy("print", "anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
     hits = windows.join(least, ["print", "anchor"]).where("id > least")
     masks = hits.groupBy("cover", F.shiftright("place", 6).alias("name")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask"))
-    contexts = materialize(contexts.select("cover", "name", F.col("id").alias("least")).join(masks, ["cover", "name"], "left"))
+    firsts, contexts = contexts, materialize(contexts.select("cover", "name", F.col("id").alias("least")).join(masks, ["cover", "name"], "left"))
+    discard(firsts, several, windows, least)
     all_ = F.expr("shiftleft(1L, cast(name & 63 as int)) - 1L") if window - gram + 1 < 63 else F.expr("CASE WHEN name & 63 = 63 THEN 9223372036854775807L ELSE shiftleft(1L, cast(name & 63 as int)) - 1L END")
     repeats = seen.join(contexts, ["cover", "name"]).withColumn("mask", F.when(F.col("id") > F.col("least"), all_).otherwise(F.col("mask"))).where("mask is not null")
     repeats = repeats.select("id", F.shiftright("at", 31).alias("code"), F.struct(F.col("at").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("first"), "mask").alias("r"))

@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from nearfield.llm.common import materialize, pick, running_sum, word_count
 
@@ -47,6 +48,12 @@ def _stretch(finish: Column) -> Column:
     return F.when(finish <= 1.5, finish).otherwise(1.5 + F.log(finish / 1.5))
 
 
+def _literal(value, kind: DataType) -> Column:
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, row_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """(id, source, size, source_size, target, passes, taken), a row for each row of
     ``docs``: the mix takes the document ``passes`` times, ``taken`` = size * passes.
@@ -55,8 +62,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     md5(id), then id and size, so reruns agree; rows that tie in all three take turns.
     Null sources are a source of their own. Documents without words, and with them
     an empty corpus, are never taken. A hot source is cut by digest into buckets.
-    ``row_col`` names a column with another whole number for each row; the result has
-    it too, so that rows which share an id, or have none, can be told apart.
+    ``row_col`` names a column with another value for each row, a struct perhaps; the
+    result has it too, so that rows which share an id, or have none, can be told apart.
     """
     given = pick(docs, id=id_col, source=source_col, text=text_col, **({"row": row_col} if row_col else {}))
     row = F.col("row") if row_col else F.monotonically_increasing_id()
@@ -83,8 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         last = fits.where(F.col("sum") <= F.lit(budget)).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
         inside = F.col("slice") < cut["slice"]
         if last is not None:
-            cast = dict(each.dtypes)
-            inside |= F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(cast[c]).alias(c) for c in order])
+            inside |= F.struct(*order) <= F.struct(*[_literal(last[c], each.schema[c].dataType).alias(c) for c in order])
     passes = each.where(inside).groupBy("row").agg(F.count("*").alias("passes"))
     out = queue.join(passes, "row", "left").withColumn("passes", F.coalesce("passes", F.lit(0).cast("long")))
     own = [F.col("row").alias(row_col)] if row_col else []

@@ -201,10 +201,26 @@ def test_mixing_stage_repeats_each_row_by_its_own_passes(spark, messy, empty):
     assert corpus_pipeline.mixing(spark, staged(empty), SF).count() == 0
 
 
-def test_other_stages_on_messy_rows(spark, messy):
+def test_names_of_rows_of_files(spark, messy, tmp_path):
+    staged(messy).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    named = corpus_pipeline._named(docs)
+    assert named.select("_row").distinct().count() == len(DOCS) and {r["_row"]["at"] for r in named.collect()} <= set(range(len(DOCS)))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.mixing):
+        a, b = rows(stage(spark, docs, SF)), rows(stage(spark, staged(messy), SF))
+        assert Counter((i, t, s) for i, t, _, s, _ in a.elements()) == Counter((i, t, s) for i, t, _, s, _ in b.elements())
+    twice = docs.union(docs)  # no plain table: rows of one file and place are two
+    assert corpus_pipeline._named(twice).select("_row").distinct().count() == 2 * len(DOCS)
+
+
+def test_other_stages_on_messy_rows(spark, messy, empty):
     docs = staged(messy)
     good = rows(corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001"))
     assert not good - rows(docs)
     near = Counter(i for i, *_ in rows(corpus_pipeline.near(spark, docs, SF)).elements())
     assert near[6] == 2 and near[7] == 0 and near[None] == 2 and near[1] + near[2] == 1
     check_packed(corpus_pipeline.packing(spark, docs, SF).collect(), {7: 9001, 3: 0, 1: 8})
+    kept = Counter(i for i, *_ in good.elements())
+    assert kept[6] in (0, 2) and all(n <= 2 for n in kept.values())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, staged(empty), "/root/testdata/sf0.001").count() == 0

@@ -42,18 +42,21 @@ class _Classifier:
     def __init__(self, n_neighbors: int = 5, fast: bool = False, **options):
         self.model = self.model_class(n_neighbors=n_neighbors, fast=fast, **options)
         self.labels: DataFrame | None = None
+        self.outputs: list[str] = []
 
     def fit(self, X: DataFrame, y: DataFrame):
-        """``y`` is (id, label); a multi-output task takes a classifier for each."""
+        """``y`` is (id, label), or (id and several other columns): a column each for
+        the outputs of a task, which predict and predict_proba then have by name."""
         self.model.fit(X)
-        self.labels = y.select("id", "label")
+        self.outputs = [c for c in y.columns if c != "id"]
+        self.labels = y.select("id", *self.outputs)
         return self
 
     def partial_fit(self, X: DataFrame, y: DataFrame):
         if self.labels is None:
             return self.fit(X, y)
         self.model.partial_fit(X)
-        self.labels = self.labels.unionByName(y.select("id", "label"))
+        self.labels = self.labels.unionByName(y.select("id", *self.outputs))
         return self
 
     def kneighbors(self, X: DataFrame | None = None, **options) -> DataFrame:
@@ -62,21 +65,45 @@ class _Classifier:
     def kneighbors_graph(self, X: DataFrame | None = None, **options) -> DataFrame:
         return self.model.kneighbors_graph(X, **options)
 
-    def _votes(self, X, options):
+    def _voted(self, X, options) -> tuple[dict[str, DataFrame], DataFrame]:
         ids = (self.model.rows if X is None else X).select("id")
-        return votes(self.model.kneighbors(X, **options), self.labels), ids
+        found = self.model.kneighbors(X, **options)
+        return {c: votes(found, self.labels.select("id", F.col(c).alias("label"))) for c in self.outputs}, ids
 
     def predict(self, X: DataFrame | None = None, **options) -> DataFrame:
-        return majority(*self._votes(X, options))
-
-    def predict_proba(self, X: DataFrame | None = None, classes: list | None = None, **options) -> DataFrame:
-        if classes is None:  # a row for each class
-            classes = sorted(r["label"] for r in self.labels.where("label is not null").select("label").distinct().collect())
-        return probabilities(*self._votes(X, options), classes)
+        """(id, and a column for each output)."""
+        voted, ids = self._voted(X, options)
+        out = ids
+        for c in self.outputs:
+            one = majority(voted[c], ids).withColumnRenamed("label", c)
+            out = one if len(self.outputs) == 1 else out.join(one, "id")
+        return out
+
+    def predict_proba(self, X: DataFrame | None = None, classes: list | dict | None = None, **options) -> DataFrame:
+        """(id, p_<class> ...), with several outputs <output>_p_<class>; ``classes`` are
+        those of the output, or of each by name."""
+        voted, ids = self._voted(X, options)
+        out = ids
+        for c in self.outputs:
+            named = classes.get(c) if isinstance(classes, dict) else classes
+            if named is None:  # a row for each class
+                named = sorted(r[c] for r in self.labels.where(F.col(c).isNotNull()).select(c).distinct().collect())
+            one = probabilities(voted[c], ids, named)
+            if len(self.outputs) == 1:
+                return one
+            out = out.join(one.select("id", *[F.col(x).alias(f"{c}_{x}") for x in one.columns[1:]]), "id")
+        return out
 
     def score(self, X: DataFrame, y: DataFrame, sample_weight: str | None = None, **options) -> float:
-        """``sample_weight`` is a column of ``y``."""
-        return accuracy(self.predict(X, **options), y, sample_weight).first()["accuracy"]
+        """The share of right predictions, all outputs of a row being right;
+        ``sample_weight`` is a column of ``y``."""
+        predicted = self.predict(X, **options)
+        if len(self.outputs) > 1:
+            whole = lambda d, *more: d.select("id", F.to_json(F.struct(*self.outputs), {"ignoreNullFields": "false"}).alias("label"), *more)
+            predicted, y = whole(predicted), whole(y, *[sample_weight] * (sample_weight is not None))
+        else:
+            predicted, y = (d.withColumnRenamed(self.outputs[0], "label") for d in (predicted, y))
+        return accuracy(predicted, y, sample_weight).first()["accuracy"]
 
 
 class MinHashClassifier(_Classifier):

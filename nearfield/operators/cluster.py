@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from nearfield.operators.components import components
 from nearfield.plans.model import MinHash
@@ -39,7 +41,7 @@ def power_iteration(edges: DataFrame, n_clusters: int, iterations: int = 20) ->
 def graph_features(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, features): the row of each id in the graph as a sparse vector over the
     positions of the sorted ids."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     place = ids.select("id").distinct()
     ordered = materialize(place.repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id()))
@@ -52,18 +54,77 @@ def graph_features(edges: DataFrame, ids: DataFrame) -> DataFrame:
     base = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map()
     position = ordered.select("id", (base[F.shiftright("n", 33)] + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("at"))
     cells = edges.join(position, F.col("dst") == F.col("id")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("c"))
-    vector = F.udf(lambda c: SparseVector(size, [(x["at"], float(x["weight"])) for x in c or []]), VectorUDT())
-    return ids.select("id").join(cells, F.col("id") == F.col("src"), "left").select("id", vector("c").alias("features"))
 
-
-    return graph_features(edges, ids).select("id", array_to_vector(vector_to_array("features")).alias("features"))
-
-
-def reduced(features: DataFrame, dimensions: int) -> DataFrame:
-    """(id, features): the first principal components of centred features."""
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="c").fit(features).transform(features)
-    made = PCA(k=dimensions, inputCol="c", outputCol="p").fit(centred).transform(centred)
-    return made.select("id", F.col("p").alias("features"))
+    def vectors(batches):
+        kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+        for b in batches:
+            held = [[(x["at"], float(x["weight"])) for x in c or []] for c in b.column("c").to_pylist()]
+            made = [{"type": 0, "size": size, "indices": [i for i, _ in c], "values": [v for _, v in c]} for c in held]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, kind)], names=["id", "features"])
+
+    every = ids.select("id").join(cells, F.col("id") == F.col("src"), "left").select("id", "c")
+    return every.mapInArrow(vectors, StructType([every.schema["id"], StructField("features", VectorUDT())]))
+
+
+def reduced(features: DataFrame, dimensions: int | None = None, seed: int = 7, rounds: int = 4) -> DataFrame:
+    """(id, features): the first principal components of centred features (None: as
+    many as there are columns, or rows), each up to its sign.
+
+    The matrix is never made dense and no covariance is formed: a random block of
+    ``dimensions`` + 10 columns is multiplied by the sparse rows and their transpose
+    ``rounds`` times (subspace iteration), so that the driver holds columns x block
+    numbers, and rows stay where they are."""
+    from pyspark.ml.functions import array_to_vector
+
+    features = features.select("id", "features").persist()
+    n, head = features.count(), features.first()
+    if head is None:
+        return features
+    columns = head["features"].size
+    k = min(dimensions or columns, columns, n)
+    block = min(k + 10, columns)
+    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((columns, block)))[0]
+
+    def cells(batch):
+        lists = batch.column("features")
+        index, value = lists.field("indices"), lists.field("values")
+        dense = np.array(lists.field("type").to_pylist()) == 1
+        for r in range(batch.num_rows):
+            v = value[r].values.to_numpy()
+            yield np.arange(len(v)) if dense[r] else index[r].values.to_numpy(), v
+
+    def summed(held, out):
+        """The sum over the rows of what is made of them, an array like ``out``."""
+        shared = features.sparkSession.sparkContext.broadcast(held)
+
+        def add(batches):
+            total = np.zeros(out)
+            for b in batches:
+                for i, v in cells(b):
+                    if shared.value is None:
+                        total[i] += v
+                    else:
+                        total[i] += v[:, None] * (v @ shared.value[0][i] - shared.value[1])[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        parts = features.select("features").mapInArrow(add, "part binary").toLocalIterator()
+        return sum((np.frombuffer(bytes(p["part"])).reshape(out) for p in parts), np.zeros(out))
+
+    mean = summed(None, columns) / n
+    for _ in range(rounds):
+        # X'X B of the centred X: its rows are x - mean, and sum to nothing
+        basis = np.linalg.qr(summed((basis, mean @ basis), basis.shape))[0]
+    spread = basis.T @ summed((basis, mean @ basis), basis.shape)
+    values, turn = np.linalg.eigh((spread + spread.T) / 2)
+    basis = basis @ turn[:, np.argsort(values)[::-1][:k]]
+    shared, shift = features.sparkSession.sparkContext.broadcast(basis), mean @ basis
+
+    def project(batches):
+        for b in batches:
+            made = [(v @ shared.value[i] - shift).tolist() for i, v in cells(b)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.list_(pa.float64()))], names=["id", "p"])
+
+    return features.mapInArrow(project, f"id {dict(features.dtypes)['id']}, p array<double>").select("id", array_to_vector("p").alias("features"))
 
 
 class MinHashClustering:
@@ -74,16 +135,20 @@ class MinHashClustering:
         self.model, self.estimator, self.transform = minHashObject, clusteringObject, transform
         self.labels_: DataFrame | None = None
 
-    def fit(self, X: DataFrame, y=None, pSaveMemory: float | None = None, pPca: bool = False, pPcaDimensions: int = 300, transform=None):
+    def fit(self, X: DataFrame, y=None, pSaveMemory: float | None = None, pPca: bool = False, pPcaDimensions: int | None = 300, pUmap: bool = False, pUmapDict: dict | None = None, transform=None):
         """``pSaveMemory`` is accepted and does nothing: rows are never held at once.
-        ``transform`` takes and returns (id, features), for other embeddings."""
+        ``transform`` takes and returns (id, features), for other embeddings; ``pUmap``
+        needs one that takes ``pUmapDict`` as keywords, as no UMAP comes with this."""
+        transform = transform or self.transform
+        if pUmap and transform is None:
+            raise ValueError("pUmap needs a transform: no UMAP comes with this package")
         self.model.fit(X)
         edges = self.model.kneighbors_graph(mode="distance")
         features = graph_features(edges, X)
         if pPca:
             features = reduced(features, pPcaDimensions)
-        if transform or self.transform:
-            features = (transform or self.transform)(features)
+        if transform:
+            features = transform(features, **(pUmapDict or {})) if pUmap else transform(features)
         self.fitted = self.estimator.fit(features)
         self.labels_ = self.fitted.transform(features).select("id", F.col("prediction").alias("label"))
         return self
@@ -91,8 +156,12 @@ class MinHashClustering:
     def fit_predict(self, X: DataFrame, y=None, **options) -> DataFrame:
         return self.fit(X, y, **options).labels_
 
-    def predict(self, X: DataFrame | None = None) -> DataFrame:
-        return self.labels_ if X is None else X.select("id").join(self.labels_, "id", "left")
+    def predict(self, X: DataFrame | None = None, y=None, **options) -> DataFrame:
+        """The labels of the rows of the last fit; with options (see fit) ``X`` is
+        fitted anew."""
+        if X is None:
+            return self.labels_
+        return self.fit(X, y, **options).labels_ if options else X.select("id").join(self.labels_, "id", "left")
 
 
 class MinHashDBSCAN:

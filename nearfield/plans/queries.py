@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from nearfield.operators.index import sampled
 from nearfield.operators.signature import long_signatures, minhash_sql, signatures
 from nearfield.plans import sql
 from nearfield.plans.model import MinHash, WtaHash
+from nearfield.plans.presets import PRESETS
 from nearfield.sources import datasets
-from nearfield.sources.rows import to_long
+from nearfield.sources.rows import from_csr, read_matrix_market, to_long
 from nearfield.sources.shared import materialize, shared_dir
 from nearfield.streaming import ingest
 
@@ -365,6 +368,28 @@ def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.accuracy(model.predict(), labels)
 
 
+_THIRDS = ("v", "SELECT t.id, neighbor_id % 3 AS label, count(*) AS n FROM t GROUP BY ALL")
+_OF_THIRDS = [*_TO_C, *sql.top(K), _THIRDS, _BEST]
+
+
+def _thirds(spark, sf_dir):
+    rows = datasets.baskets(spark, sf_dir)
+    labels = rows.select("id", (F.col("id") % 3).alias("label"), (F.col("id") % 5 + 1).cast("double").alias("weight"))
+    options = {k: v for k, v in _minhash().params.items() if k != "fast"}
+    return classify.MinHashClassifier(fast=True, **options).fit(rows, labels.select("id", "label")), rows, labels
+
+
+@query(sql.with_(*_OF_THIRDS, final="SELECT x.id, coalesce(p.label, -1) AS label FROM (SELECT DISTINCT id FROM x) x LEFT JOIN p USING (id)"))
+def minhash_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _thirds(spark, sf_dir)[0].predict()
+
+
+@query(sql.with_(*_OF_THIRDS, final="SELECT round(sum((id % 5 + 1) * CAST(coalesce(p.label, -1) = id % 3 AS INTEGER)) / sum(id % 5 + 1), 9) AS accuracy FROM (SELECT DISTINCT id FROM x) x LEFT JOIN p USING (id)"))
+def minhash_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _, labels = _thirds(spark, sf_dir)
+    return classify.accuracy(model.predict(), labels, "weight").select(F.round("accuracy", 9).alias("accuracy"))
+
+
 @query(sql.with_(
     *_TO_C_TOKENS, *sql.expanded(10, EXCESS, True),
     ("xq", "SELECT * FROM x WHERE id % 20 = 0"),
@@ -374,12 +399,109 @@ def knn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the truth for the query rows, those with an id divisible by 20."""
-    rows = datasets.tokens(spark, sf_dir)
+    rows = materialize(datasets.tokens(spark, sf_dir))  # read again and again
     found = _minhash(n_neighbors=10).fit(rows).kneighbors(similarity=True)
     truth = exact.exact_neighbors(rows, 10, rows.where("id % 20 = 0"), precision=6)
     return exact.recall(found, truth).select(F.round("recall", 6).alias("recall"))
 
 
+# the forms of fitting and querying at once
+
+
+@query(_fast("baskets"))
+def fit_kneighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash().fit_kneighbors(datasets.baskets(spark, sf_dir), fast=True)
+
+
+@query(sql.with_(*_TO_C, *sql.top(K), final=sql.symmetric("t", "1.0::DOUBLE")))
+def fit_kneighbors_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash().fit_kneighbors_graph(datasets.baskets(spark, sf_dir), fast=True)
+
+
+_NEAR_TOKENS = ("e", f"SELECT id, neighbor_id, 1 - cnt / {float(H)}::DOUBLE AS distance FROM c WHERE 1 - cnt / {float(H)}::DOUBLE <= 0.7")
+
+
+@query(sql.with_(*_TO_C_TOKENS, _NEAR_TOKENS, *sql.ranked("e", "k", 2**31 - 1, False), final=_EXPANDED))
+def fit_radius_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash().fit_radius_neighbors(datasets.tokens(spark, sf_dir), radius=0.7, fast=True)
+
+
+@query(sql.with_(*_TO_C_TOKENS, _NEAR_TOKENS, final=sql.symmetric("e", "distance")))
+def fit_radius_neighbors_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash().fit_radius_neighbors_graph(datasets.tokens(spark, sf_dir), radius=0.7, fast=True, mode="distance")
+
+
+@query(sql.with_(*_TO_C_TOKENS, _NEAR_TOKENS, *sql.ranked("e", "k", 2**31 - 1, False), final="""
+    SELECT x.id, coalesce(string_agg(CAST(neighbor_id AS VARCHAR), ',' ORDER BY rank), '') AS neighbors, coalesce(string_agg(CAST(CAST(distance * 32 AS INTEGER) AS VARCHAR), ',' ORDER BY rank), '') AS distances
+    FROM (SELECT DISTINCT id FROM x) x LEFT JOIN k USING (id) GROUP BY x.id"""))
+def radius_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists as long as they are; distances in 32nds."""
+    rows = datasets.tokens(spark, sf_dir)
+    arrays = graph.as_arrays(_minhash().fit(rows).radius_neighbors(radius=0.7, fast=True), rows)
+    parts = F.transform("distances", lambda d: (d * 32).cast("int").cast("string"))
+    return arrays.select("id", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"), F.concat_ws(",", parts).alias("distances"))
+
+
+# tuned sets of parameters
+
+
+def _tuned(algorithm: str, goal: str) -> str:
+    p = PRESETS[algorithm, goal]
+    h, prune, lsb, less = p["number_of_hash_functions"], p["prune_inverse_index"], p["store_value_with_least_sigificant_bit"], p["remove_hash_function_with_less_entries_as"]
+    data = sql.data("baskets" if algorithm == "minhash" else "embeddings")
+    if p["shingle"]:
+        size = p["shingle_size"]
+        signed = [*sql.minhash(h * p["block_size"], "x", "r"), ("l", "SELECT id, list(val ORDER BY slot) AS raw FROM r GROUP BY id")]
+        signed.append(("s", f"SELECT id, CAST(b AS INTEGER) AS slot, list_reduce(list_slice(raw, b * {size} + 1, b * {size} + {size}), lambda s, f: {_STEP}) AS val FROM l, range({-(-h * p['block_size'] // size)}) AS n(b)"))
+        h = -(-h * p["block_size"] // size)
+    else:
+        signed = sql.minhash(h) if algorithm == "minhash" else sql.wta(h, p["rangeK_wta"])
+    return sql.with_(data, *signed, *sql.index(p["max_bin_size"], prune, lsb, less), *sql.collisions(), *sql.top(K), final=f"SELECT id, rank, neighbor_id, 1 - cnt / {float(h)}::DOUBLE AS distance FROM t")
+
+
+@query(_tuned("minhash", "speed"))
+def preset_minhash_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MinHash(speed_optimized=True, n_neighbors=K).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
+
+
+@query(_tuned("minhash", "accuracy"))
+def preset_minhash_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MinHash(accuracy_optimized=True, n_neighbors=K).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
+
+
+@query(_tuned("wta", "speed"))
+def preset_wta_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return WtaHash(speed_optimized=True, n_neighbors=K).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
+
+
+@query(_tuned("wta", "accuracy"))
+def preset_wta_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return WtaHash(accuracy_optimized=True, n_neighbors=K).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
+
+
+# sources
+
+
+@query("SELECT n_regionkey AS id, n_nationkey::BIGINT AS f, CAST(n_nationkey + 1 AS DOUBLE) AS v FROM nation")
+def csr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of regions and nations, small as what a driver holds should be."""
+    cells = sorted((r["n_regionkey"], r["n_nationkey"]) for r in datasets.table(spark, sf_dir, "nation").collect())
+    starts = [sum(region < i for region, _ in cells) for i in range(max(region for region, _ in cells) + 2)]
+    long = to_long(from_csr(spark, starts, [n for _, n in cells], [n + 1.0 for _, n in cells]))
+    return long.select(F.col("id").cast("int").alias("id"), "f", "v")
+
+
+@query(sql.with_(sql.data("baskets"), final="SELECT id, f, v FROM x WHERE id % 10 = 0"))
+def matrix_market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baskets of every tenth customer, written as a coordinate file and read."""
+    cells = to_long(datasets.baskets(spark, sf_dir)).where("id % 10 = 0").select(F.concat_ws(" ", F.col("id") + 1, F.col("f") + 1, "v").alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "% sizes"), (2, "0 0 0")], "n int, value string")
+    lines = head.unionByName(cells.select(F.lit(3).alias("n"), "value")).coalesce(1).sortWithinPartitions("n").select("value")
+    path = f"{shared_dir(spark)}/nearfield-mtx-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return to_long(read_matrix_market(spark, path))
+
+
 # clusters
 
 EPS, MIN_SAMPLES = 20.0, 3

@@ -10,8 +10,11 @@ DATA = {
     "embeddings": "SELECT * FROM (SELECT vec_id AS id, CAST(unnest(range(len(embedding))) AS BIGINT) AS f, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE v <> 0",
 }
 
-#: Column by column, the hash of k.
-MIX = f"(32767 * k + {M}) & {M} AS m1, (xor(m1, m1 >> 12) * 5) & {M} AS m2, (xor(m2, m2 >> 4) * 2057) & {M} AS m3, xor(m3, m3 >> 16) AS h"
+#: Column by column, the hash of k in its plain steps of shifts and sums.
+MIX = (
+    f"(xor(k, {M}) + (k << 15)) & {M} AS m1, xor(m1, m1 >> 12) AS m2, (m2 + (m2 << 2)) & {M} AS m3, xor(m3, m3 >> 4) AS m4, "
+    f"(m4 + (m4 << 3) + (m4 << 11)) & {M} AS m5, xor(m5, m5 >> 16) AS h"
+)
 
 
 def hash_text(a: str, b: str) -> str:

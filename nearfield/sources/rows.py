@@ -59,20 +59,33 @@ def from_csr(spark: SparkSession, indptr, indices, data) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """The row layout of a coordinate file (general or pattern), 1-based in the file
-    and 0-based here. The line of sizes is the first that is no comment."""
-    lines = spark.read.text(path).where("value not like '%!%%' escape '!' and trim(value) <> ''".replace("'%!%%'", "'!%%'"))
-    numbered = lines.withColumn("n", F.monotonically_increasing_id())
+    """The row layout of a coordinate file, 1-based in the file and 0-based here: real,
+    integer or pattern, and general, symmetric or skew-symmetric (the other half is
+    filled in). Anything else, array and complex files among it, is a ValueError. The
+    line of sizes is the first that is no comment."""
+    text = spark.read.text(path).where("trim(value) <> ''")
+    header = text.where("lower(value) like '!%!%matrixmarket%' escape '!'").first()
+    kind = header["value"].lower().split()[1:] if header else ["matrix", "coordinate", "real", "general"]
+    if len(kind) != 4 or kind[:2] != ["matrix", "coordinate"] or kind[2] not in ("real", "integer", "pattern") or kind[3] not in ("general", "symmetric", "skew-symmetric"):
+        raise ValueError(f"no coordinate file of real numbers: {' '.join(kind)}")
+    numbered = text.where("value not like '!%%' escape '!'").withColumn("n", F.monotonically_increasing_id())
     cells = numbered.where(F.col("n") > numbered.agg(F.min("n")).scalar())
     parts = F.split(F.trim("value"), r"\s+")
-    value = F.when(F.size(parts) > 2, F.get(parts, F.lit(2))).otherwise("1")
-    return from_long(cells.select((parts[0].cast("long") - 1).alias("id"), (parts[1].cast("long") - 1).alias("f"), value.cast("double").alias("v")))
+    value = F.when(F.size(parts) > 2, F.get(parts, F.lit(2))).otherwise("1").cast("double")
+    cells = cells.select((parts[0].cast("long") - 1).alias("id"), (parts[1].cast("long") - 1).alias("f"), value.alias("v"))
+    if kind[3] != "general":
+        sign = 1 if kind[3] == "symmetric" else -1
+        cells = cells.unionByName(cells.where("id <> f").select(F.col("f").alias("id"), F.col("id").alias("f"), (F.col("v") * sign).alias("v")))
+    return from_long(cells)
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """The row layout of .npz files of a compressed matrix (arrays indptr, indices and
-    data), one row range per file; ids follow each other within a file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """The row layout of one .npz file of a sparse matrix: csr (taken for granted where
+    the file names no format), csc or coo. Other formats, and several files, whose rows
+    would share ids, are a ValueError."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.count() != 1:
+        raise ValueError(f"not one file: {path}")
 
     def rows(batches):
         import pyarrow as pa
@@ -80,9 +93,16 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column("content").to_pylist():
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    indptr, indices, data = (np.lib.format.read_array(io.BytesIO(z.read(f"{n}.npy"))) for n in ("indptr", "indices", "data"))
-                n = len(indptr) - 1
-                ids = np.repeat(np.arange(n, dtype=np.int64), np.diff(indptr))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(indices.astype(np.int64)), pa.array(data.astype(np.float64))], names=["id", "f", "v"])
-
-    return from_long(files.mapInArrow(rows, "id long, f long, v double"))
+                    held = {n[:-4]: np.lib.format.read_array(io.BytesIO(z.read(n))) for n in z.namelist()}
+                form = held.get("format", np.array(b"csr")).item()
+                form = form.decode() if isinstance(form, bytes) else form
+                if form == "coo":
+                    ids, features = held["row"], held["col"]
+                elif form in ("csr", "csc"):
+                    major = np.repeat(np.arange(len(held["indptr"]) - 1), np.diff(held["indptr"]))
+                    ids, features = (major, held["indices"]) if form == "csr" else (held["indices"], major)
+                else:
+                    raise ValueError(f"no such format: {form}")
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(features.astype(np.int64)), pa.array(held["data"].astype(np.float64))], names=["id", "f", "v"])
+
+    return from_long(files.select("content").mapInArrow(rows, "id long, f long, v double"))

@@ -102,6 +102,49 @@ def test_classifier(spark, rows):
     assert m.predict_proba(rows.where("id < 40")).columns == ["id", "p_0", "p_1", "p_2"]
 
 
+def test_a_classifier_of_several_outputs(spark, rows):
+    both = rows.select("id", (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"))
+    m = MinHashClassifier(fast=True, number_of_hash_functions=16).fit(rows, both)
+    got = m.predict()
+    assert got.columns == ["id", "a", "b"]
+    for c in "ab":
+        one = MinHashClassifier(fast=True, number_of_hash_functions=16).fit(rows, both.select("id", F.col(c).alias("label")))
+        assert as_set(got.select("id", c)) == as_set(one.predict())
+    truth, found = {r["id"]: (r["a"], r["b"]) for r in both.collect()}, {r["id"]: (r["a"], r["b"]) for r in got.collect()}
+    assert abs(m.score(rows.where("id < 50"), both) - sum(m_ == truth[i] for i, m_ in {r["id"]: (r["a"], r["b"]) for r in m.predict(rows.where("id < 50")).collect()}.items()) / rows.where("id < 50").count()) < 1e-9
+    assert m.predict_proba().columns == ["id", "a_p_0", "a_p_1", "a_p_2", "b_p_0", "b_p_1"] and len(found) == len(truth)
+
+
+def test_principal_components_are_those_of_the_covariance(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from nearfield.operators.cluster import reduced
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((80, 12)) @ np.diag([9, 6, 4, 1, *[0.2] * 8]) + 3
+    x[np.abs(x) < 0.5] = 0
+    df = spark.createDataFrame([(i, Vectors.sparse(12, [(j, v) for j, v in enumerate(row) if v]) if i % 2 else Vectors.dense(row)) for i, row in enumerate(x)], ["id", "features"])
+    got = np.array([row["features"].toArray() for row in reduced(df, 3).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-3)
+    assert len(reduced(df, None).first()["features"]) == 12
+
+
+def test_clustering_takes_the_options_of_embeddings(spark, rows):
+    from pyspark.ml.clustering import KMeans
+
+    from nearfield import MinHashClustering
+
+    few = rows.where("id < 60")
+    c = MinHashClustering(model(fast=True), KMeans(k=3, seed=1, maxIter=3))
+    for options in ({"pUmap": False, "pUmapDict": None}, {"pPca": True, "pPcaDimensions": None, "pUmap": False}, {"pSaveMemory": 0.1, "pPca": True, "pPcaDimensions": 4}):
+        assert c.fit_predict(few, None, **options).count() == few.count() == c.predict(few, None, **options).count()
+    with pytest.raises(ValueError):
+        c.fit(few, pUmap=True)
+    assert c.fit_predict(few, pUmap=True, pUmapDict={"n": 1}, transform=lambda f, n: f).where("label is null").count() == 0
+
+
 def test_components_of_chains_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 5)] + [(1000, n) for n in range(900, 960)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -1,6 +1,7 @@
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.ml.linalg import Vectors
 
 from nearfield.sources import shared
@@ -30,6 +31,32 @@ def test_npz(spark, tmp_path):
     assert as_set(read_npz(spark, str(tmp_path / "m.npz"))) == WANT
 
 
+def test_matrix_market_of_other_kinds(spark, tmp_path):
+    def read(kind, *lines):
+        (tmp_path / "m.mtx").write_text("\n".join([f"%%MatrixMarket matrix {kind}", "% a comment", "3 3 2", *lines]))
+        return as_set(read_matrix_market(spark, str(tmp_path / "m.mtx")))
+
+    assert read("coordinate real symmetric", "2 1 5.0", "3 3 1.5") == {(1, (0,), (5.0,)), (0, (1,), (5.0,)), (2, (2,), (1.5,))}
+    assert read("coordinate integer skew-symmetric", "2 1 5", "3 1 2") == {(1, (0,), (5.0,)), (2, (0,), (2.0,)), (0, (1, 2), (-5.0, -2.0))}
+    assert read("coordinate pattern general", "2 1", "3 3") == {(1, (0,), (1.0,)), (2, (2,), (1.0,))}
+    for kind in ("array real general", "coordinate complex general", "coordinate real hermitian"):
+        with pytest.raises(ValueError):
+            read(kind, "1 1 1 0")
+
+
+def test_npz_of_other_formats(spark, tmp_path):
+    path = str(tmp_path / "m.npz")
+    np.savez(path, format=np.array(b"csc"), indptr=np.array([0, 1, 2, 2, 3]), indices=np.array([2, 0, 0]), data=np.array([1.5, 2.0, 5.0]), shape=np.array([3, 4]))
+    assert as_set(read_npz(spark, path)) == WANT
+    np.savez(path, format=np.array(b"coo"), row=np.array([2, 0, 0]), col=np.array([0, 1, 3]), data=np.array([1.5, 2.0, 5.0]))
+    assert as_set(read_npz(spark, path)) == WANT
+    np.savez(str(tmp_path / "n.npz"), format=np.array(b"bsr"), data=np.zeros(1))
+    with pytest.raises(ValueError):
+        read_npz(spark, str(tmp_path / "*.npz"))
+    with pytest.raises(Exception, match="no such format"):
+        read_npz(spark, str(tmp_path / "n.npz")).collect()
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(0, Vectors.sparse(4, [1, 3], [2.0, 5.0])), (2, Vectors.dense(1.5, 0, 0, 0))], ["k", "v"])
     assert as_set(from_vectors(df, "k", "v")) == WANT

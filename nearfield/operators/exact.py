@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,17 +52,29 @@ class _Table:
         self.features, self.values = lists.flatten().to_numpy(), values.flatten().to_numpy()
         self.norms = np.bincount(np.repeat(np.arange(len(self.ids)), self.sizes), weights=self.values**2, minlength=len(self.ids)).astype(np.float64)
 
+    @classmethod
+    def again(cls, parts: dict) -> "_Table":
+        """From the arrays of a broadcast, which workers read before they have the class."""
+        table = cls.__new__(cls)
+        vars(table).update(parts)
+        return table
+
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ids, and which of them are there."""
         at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
         return at, self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), dtype=bool)
 
 
+def _cells(rows: DataFrame) -> int | None:
+    """How many cells a table of the rows has; None where ids are no whole numbers."""
+    if dict(rows.dtypes)["id"] not in ("bigint", "int"):
+        return None
+    return rows.agg(F.sum(F.size("features") + 4)).first()[0] or 0
+
+
 def _small(*frames: DataFrame) -> bool:
     """Whether the rows have MOST_CELLS cells at most, and whole numbers as ids."""
-    if any(dict(f.dtypes)["id"] not in ("bigint", "int") for f in frames):
-        return False
-    return all((f.agg(F.sum(F.size("features") + 4)).first()[0] or 0) <= MOST_CELLS for f in {id(f): f for f in frames}.values())
+    return all((n := _cells(f)) is not None and n <= MOST_CELLS for f in {id(f): f for f in frames}.values())
 
 
 def dot_products(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -74,10 +88,10 @@ def dot_products(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     if _small(left, right):
         a = _Table(left)
         b = a if left is right else _Table(right)
-        held = left.sparkSession.sparkContext.broadcast((a, b))
+        held = left.sparkSession.sparkContext.broadcast((vars(a), vars(b)))
 
         def look_up(batches):
-            a, b = held.value
+            a, b = (_Table.again(parts) for parts in held.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, 8192):
                     c = batch.slice(at, 8192)
@@ -157,56 +171,72 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hits.agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def _against(rows: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """(id, neighbor_id, xx, yy, xy) of the queries ``q``, which go to every executor,
+    and rows with a common feature; of each block of rows those alone that may be among
+    the first ``k`` of a query."""
+    id_type = dict(rows.dtypes)["id"]
+    held = rows.sparkSession.sparkContext.broadcast(vars(_Table(q)))
+
+    def compare(batches):
+        t = _Table.again(held.value)
+        order = np.argsort(t.features, kind="stable")
+        features, values = t.features[order], t.values[order]
+        of = np.repeat(np.arange(len(t.ids)), t.sizes)[order]
+        root = np.sqrt(t.norms)
+        for batch in batches:
+            # as many rows at a time as make a block of 4 million pairs
+            step = max(1, 4_000_000 // max(1, len(t.ids)))
+            for at in range(0, batch.num_rows, step):
+                c = batch.slice(at, step)
+                lists, v = c.column("features"), c.column("values").flatten().to_numpy()
+                row = np.repeat(np.arange(c.num_rows), np.diff(lists.offsets.to_numpy()))
+                f = lists.flatten().to_numpy()
+                low, high = np.searchsorted(features, f, "left"), np.searchsorted(features, f, "right")
+                block = np.zeros(c.num_rows * len(t.ids))
+                for part in np.array_split(np.arange(len(f)), max(1, int((high - low).sum()) // 4_000_000)):
+                    n = (high - low)[part]
+                    cell = np.repeat(part, n)
+                    hit = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + low[cell]
+                    block += np.bincount(row[cell] * len(t.ids) + of[hit], weights=v[cell] * values[hit], minlength=len(block))
+                block = block.reshape(c.num_rows, len(t.ids))
+                norm = np.sqrt(np.bincount(row, weights=v * v, minlength=c.num_rows))
+                ids = c.column("id").to_numpy()
+                block[ids[:, None] == t.ids[None, :]] = 0
+                near = block / np.maximum(norm[:, None] * root[None, :], 1e-300)
+                r, s = np.nonzero(block)
+                if len(near) > k:  # a row below its query's k best of this block is no neighbour
+                    level = np.partition(near, -k, axis=0)[-k]
+                    keep = near[r, s] >= level[s] - 1e-6
+                    r, s = r[keep], s[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids[s]), pa.array(ids[r]), pa.array(t.norms[s]), pa.array((norm**2)[r]), pa.array(block[r, s])], names=["id", "neighbor_id", "xx", "yy", "xy"])
+
+    return rows.mapInArrow(compare, f"id {id_type}, neighbor_id {id_type}, xx double, yy double, xy double")
+
+
 def exact_neighbors(rows: DataFrame, k: int, queries: DataFrame | None = None, precision: int | None = None) -> DataFrame:
     """The true k nearest by cosine, the yardstick of recall: rows without a common
-    feature have cosine 0, so matching features finds all others. Queries of MOST_CELLS
-    cells at most go to every executor and are compared with the rows block by block;
-    more are joined on features."""
+    feature have cosine 0, so matching features finds all others. Queries go to every
+    executor, cut by a hash of their ids into blocks of half of MOST_CELLS cells on
+    average, and each block is compared with the rows where those lie: a feature that
+    all rows have costs no exchange. Rows whose ids are no whole numbers are joined on
+    features instead."""
     from nearfield.sources.rows import to_long
+    from nearfield.sources.shared import materialize
 
     q = rows if queries is None else queries
-    id_type = dict(rows.dtypes)["id"]
-    if _small(q):
-        held = rows.sparkSession.sparkContext.broadcast(_Table(q))
-
-        def compare(batches):
-            t = held.value
-            order = np.argsort(t.features, kind="stable")
-            features, values = t.features[order], t.values[order]
-            of = np.repeat(np.arange(len(t.ids)), t.sizes)[order]
-            root = np.sqrt(t.norms)
-            for batch in batches:
-                # as many rows at a time as make a block of 4 million pairs
-                step = max(1, 4_000_000 // max(1, len(t.ids)))
-                for at in range(0, batch.num_rows, step):
-                    c = batch.slice(at, step)
-                    lists, v = c.column("features"), c.column("values").flatten().to_numpy()
-                    row = np.repeat(np.arange(c.num_rows), np.diff(lists.offsets.to_numpy()))
-                    f = lists.flatten().to_numpy()
-                    low, high = np.searchsorted(features, f, "left"), np.searchsorted(features, f, "right")
-                    block = np.zeros(c.num_rows * len(t.ids))
-                    for part in np.array_split(np.arange(len(f)), max(1, int((high - low).sum()) // 4_000_000)):
-                        n = (high - low)[part]
-                        cell = np.repeat(part, n)
-                        hit = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + low[cell]
-                        block += np.bincount(row[cell] * len(t.ids) + of[hit], weights=v[cell] * values[hit], minlength=len(block))
-                    block = block.reshape(c.num_rows, len(t.ids))
-                    norm = np.sqrt(np.bincount(row, weights=v * v, minlength=c.num_rows))
-                    ids = c.column("id").to_numpy()
-                    block[ids[:, None] == t.ids[None, :]] = 0
-                    near = block / np.maximum(norm[:, None] * root[None, :], 1e-300)
-                    r, s = np.nonzero(block)
-                    if len(near) > k:  # a row below its query's k best of this block is no neighbour
-                        level = np.partition(near, -k, axis=0)[-k]
-                        keep = near[r, s] >= level[s] - 1e-6
-                        r, s = r[keep], s[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(t.ids[s]), pa.array(ids[r]), pa.array(t.norms[s]), pa.array((norm**2)[r]), pa.array(block[r, s])], names=["id", "neighbor_id", "xx", "yy", "xy"])
-
-        full = rows.mapInArrow(compare, f"id {id_type}, neighbor_id {id_type}, xx double, yy double, xy double")
-    else:
-        a, b = to_long(q), to_long(rows).withColumnRenamed("id", "neighbor_id").withColumnRenamed("v", "w")
-        sums = a.join(b, "f").where("id <> neighbor_id").groupBy("id", "neighbor_id").agg(F.sum(F.col("v") * F.col("w")).alias("xy"))
-        norm = lambda d, i, n: d.select(F.col("id").alias(i), squared_norm(F.col("values")).alias(n))
-        full = sums.join(norm(q, "id", "xx"), "id").join(norm(rows, "neighbor_id", "yy"), "neighbor_id")
+    cells = _cells(q)
     measure = F.round(cosine(), precision) if precision is not None else cosine()
-    return nearest(full.select("id", "neighbor_id", measure.alias("distance")), k, True)
+    best = lambda full: nearest(full.select("id", "neighbor_id", measure.alias("distance")), k, True)
+    if cells is not None and cells <= MOST_CELLS:
+        return best(_against(rows, q, k))
+    if cells is not None:
+        blocks = -(-2 * cells // MOST_CELLS)
+        rows, q = materialize(rows.select("id", "features", "values")), materialize(q.select("id", "features", "values"))
+        # one after another, so that no more than a block is held at a time
+        parts = [materialize(best(_against(rows, q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k))) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    a, b = to_long(q), to_long(rows).withColumnRenamed("id", "neighbor_id").withColumnRenamed("v", "w")
+    sums = a.join(b, "f").where("id <> neighbor_id").groupBy("id", "neighbor_id").agg(F.sum(F.col("v") * F.col("w")).alias("xy"))
+    norm = lambda d, i, n: d.select(F.col("id").alias(i), squared_norm(F.col("values")).alias(n))
+    return best(sums.join(norm(q, "id", "xx"), "id").join(norm(rows, "neighbor_id", "yy"), "neighbor_id"))

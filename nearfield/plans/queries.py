@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,25 +24,40 @@ from nearfield.streaming import ingest
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 H, CAP, K, EXCESS = 32, 50, 5, 5
-WTA_K, WTA_CAP = 8, 100_000
+#: A winner is one of WTA_K, so two slots make a value, of WTA_K squared.
+WTA_K, WTA_SLOTS = 8, H // 2
+#: Models of the last query, whose tables the executors keep until the next begins.
+_open: list = []
 
 
 def query(oracle: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            while _open:
+                _open.pop().close()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLES[f.__name__] = oracle
-        return f
+        return run
 
     return add
 
 
+def _kept(model):
+    _open.append(model)
+    return model
+
+
 def _minhash(**options) -> MinHash:
-    return MinHash(**{"number_of_hash_functions": H, "max_bin_size": CAP, "n_neighbors": K, "excess_factor": EXCESS, "precision": 6, **options})
+    return _kept(MinHash(**{"number_of_hash_functions": H, "max_bin_size": CAP, "n_neighbors": K, "excess_factor": EXCESS, "precision": 6, **options}))
 
 
 def _wta(**options) -> WtaHash:
-    return WtaHash(**{"number_of_hash_functions": H, "max_bin_size": WTA_CAP, "rangeK_wta": WTA_K, "n_neighbors": K, "excess_factor": EXCESS, "precision": 6, **options})
+    shingles = {"shingle": 1, "block_size": 1, "shingle_size": 2}
+    return _kept(WtaHash(**{"number_of_hash_functions": H, "max_bin_size": CAP, "rangeK_wta": WTA_K, "n_neighbors": K, "excess_factor": EXCESS, "precision": 6, **shingles, **options}))
 
 
 def _signed(spark, sf_dir, build=datasets.baskets) -> DataFrame:
@@ -210,10 +226,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/nearfield-model-{spark.sparkContext.applicationId}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
     _minhash().fit(datasets.baskets(spark, sf_dir)).save(path)
-    return MinHash.load(spark, path).kneighbors(fast=True)
+    return _kept(MinHash.load(spark, path)).kneighbors(fast=True)
+
+
+#: Slots without a positive value are 0, and part of their shingle.
+_TO_WTA = [
+    sql.data("embeddings"), *sql.wta(H, WTA_K, "x", "r"),
+    ("rz", f"SELECT i.id, list(coalesce(r.val, 0) ORDER BY n.slot) AS raw FROM (SELECT DISTINCT id FROM x) i CROSS JOIN range({H}) AS n(slot) LEFT JOIN r ON r.id = i.id AND r.slot = n.slot GROUP BY i.id"),
+    ("s", f"SELECT id, CAST(b AS INTEGER) AS slot, list_reduce(list_slice(raw, b * 2 + 1, b * 2 + 2), lambda s, f: {_STEP}) AS val FROM rz, range({WTA_SLOTS}) AS n(b)"),
+    *sql.index(CAP), *sql.collisions(), *sql.top(K),
+]
 
 
-@query(sql.with_(sql.data("embeddings"), *sql.wta(H, WTA_K), *sql.index(WTA_CAP), *sql.collisions(), *sql.top(K), final=_FAST))
+@query(sql.with_(*_TO_WTA, final=f"SELECT id, rank, neighbor_id, 1 - cnt / {float(WTA_SLOTS)}::DOUBLE AS distance FROM t"))
 def wta_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wta().fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
 
@@ -337,7 +362,6 @@ def knn_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # labels
 
-_TO_WTA = [sql.data("embeddings"), *sql.wta(H, WTA_K), *sql.index(WTA_CAP), *sql.collisions(), *sql.top(K)]
 _VOTES = ("v", "SELECT t.id, label, count(*) AS n FROM t JOIN embeddings ON vec_id = neighbor_id WHERE label IS NOT NULL GROUP BY ALL")
 _BEST = ("p", "SELECT id, label FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1")
 _PREDICTED = ("o", "SELECT vec_id AS id, coalesce(p.label, -1) AS label FROM embeddings LEFT JOIN p ON p.id = vec_id")
@@ -346,7 +370,9 @@ _PREDICTED = ("o", "SELECT vec_id AS id, coalesce(p.label, -1) AS label FROM emb
 def _labelled(spark, sf_dir):
     labels = datasets.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     options = _wta().params
-    return classify.WtaHashClassifier(fast=True, **{k: v for k, v in options.items() if k != "fast"}).fit(datasets.embeddings(spark, sf_dir), labels), labels
+    model = classify.WtaHashClassifier(fast=True, **{k: v for k, v in options.items() if k != "fast"}).fit(datasets.embeddings(spark, sf_dir), labels)
+    _kept(model.model)
+    return model, labels
 
 
 @query(sql.with_(*_TO_WTA, _VOTES, _BEST, _PREDICTED, final="SELECT * FROM o"))
@@ -376,7 +402,9 @@ def _thirds(spark, sf_dir):
     rows = datasets.baskets(spark, sf_dir)
     labels = rows.select("id", (F.col("id") % 3).alias("label"), (F.col("id") % 5 + 1).cast("double").alias("weight"))
     options = {k: v for k, v in _minhash().params.items() if k != "fast"}
-    return classify.MinHashClassifier(fast=True, **options).fit(rows, labels.select("id", "label")), rows, labels
+    model = classify.MinHashClassifier(fast=True, **options).fit(rows, labels.select("id", "label"))
+    _kept(model.model)
+    return model, rows, labels
 
 
 @query(sql.with_(*_OF_THIRDS, final="SELECT x.id, coalesce(p.label, -1) AS label FROM (SELECT DISTINCT id FROM x) x LEFT JOIN p USING (id)"))
@@ -461,22 +489,22 @@ def _tuned(algorithm: str, goal: str) -> str:
 
 @query(_tuned("minhash", "speed"))
 def preset_minhash_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MinHash(speed_optimized=True, n_neighbors=K).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
+    return _kept(MinHash(speed_optimized=True, n_neighbors=K)).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
 
 
 @query(_tuned("minhash", "accuracy"))
 def preset_minhash_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MinHash(accuracy_optimized=True, n_neighbors=K).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
+    return _kept(MinHash(accuracy_optimized=True, n_neighbors=K)).fit(datasets.baskets(spark, sf_dir)).kneighbors(fast=True)
 
 
 @query(_tuned("wta", "speed"))
 def preset_wta_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WtaHash(speed_optimized=True, n_neighbors=K).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
+    return _kept(WtaHash(speed_optimized=True, n_neighbors=K)).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
 
 
 @query(_tuned("wta", "accuracy"))
 def preset_wta_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WtaHash(accuracy_optimized=True, n_neighbors=K).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
+    return _kept(WtaHash(accuracy_optimized=True, n_neighbors=K)).fit(datasets.embeddings(spark, sf_dir)).kneighbors(fast=True)
 
 
 # sources
@@ -519,13 +547,17 @@ EPS, MIN_SAMPLES = 20.0, 3
 ))
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = {k: v for k, v in _minhash().params.items() if k != "n_neighbors"}
-    return cluster.MinHashDBSCAN(EPS, MIN_SAMPLES, K, precision=6, **p).fit_predict(datasets.tokens(spark, sf_dir))
+    dbscan = cluster.MinHashDBSCAN(EPS, MIN_SAMPLES, K, precision=6, **p)
+    _kept(dbscan.model)
+    return dbscan.fit_predict(datasets.tokens(spark, sf_dir))
 
 
 @query()
 def pic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = {k: v for k, v in _minhash().params.items() if k != "n_neighbors"}
-    return cluster.MinHashSpectralClustering(4, K, 10, precision=6, **p).fit_predict(datasets.tokens(spark, sf_dir))
+    spectral = cluster.MinHashSpectralClustering(4, K, 10, precision=6, **p)
+    _kept(spectral.model)
+    return spectral.fit_predict(datasets.tokens(spark, sf_dir))
 
 
 @query()

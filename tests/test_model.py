@@ -174,6 +174,30 @@ def test_dbscan_against_plain(spark):
     assert {r["id"]: r["label"] for r in got.collect()} == want
 
 
+def test_power_iteration_against_plain(spark):
+    """Clusters are intervals of the vector that plain power iteration ends with."""
+    import numpy as np
+
+    from nearfield.operators.cluster import power_iteration
+
+    r = np.random.default_rng(5)
+    n, k, rounds = 48, 3, 6
+    w = np.triu(r.random((n, n)) * (r.random((n, n)) < 0.3), 1)
+    for at, size in ((0, 8), (8, 16), (24, 24)):  # dense groups of several sizes
+        w[at : at + size, at : at + size] = np.triu(r.random((size, size)), 1) * size
+    w += w.T
+    edges = [(int(a), int(b), float(w[a, b])) for a, b in zip(*np.nonzero(w))]
+    degree = w.sum(axis=1)
+    v = degree / degree.sum()
+    for _ in range(rounds):
+        v = (w / degree[:, None]) @ v
+        v /= np.abs(v).sum()
+    got = {row["id"]: row["label"] for row in power_iteration(spark.createDataFrame(edges, "src long, dst long, weight double"), k, rounds).collect()}
+    assert set(got) == set(range(n)) and set(got.values()) == set(range(k))
+    labels = [got[int(i)] for i in np.argsort(v)]
+    assert sum(a != b for a, b in zip(labels, labels[1:])) == k - 1
+
+
 def test_rows_held_and_rows_joined_agree(spark, rows, monkeypatch):
     from nearfield.operators import exact
     from nearfield.sources.rows import to_long
@@ -181,9 +205,14 @@ def test_rows_held_and_rows_joined_agree(spark, rows, monkeypatch):
     pairs = model().fit(rows).kneighbors(fast=True).select("id", "neighbor_id").unionByName(spark.createDataFrame([(1, 10**9), (10**9, 1)], "id long, neighbor_id long"))
     queries = rows.where("id % 5 = 0")
     held = as_set(exact.dot_products(pairs, rows, rows)), as_set(exact.dot_products(pairs, queries, rows)), as_set(exact.exact_neighbors(rows, 4, queries, precision=6))
+    monkeypatch.setattr(exact, "MOST_CELLS", exact._cells(queries) // 2)  # blocks of queries
+    blocks = as_set(exact.exact_neighbors(rows, 4, queries, precision=6))
     monkeypatch.setattr(exact, "MOST_CELLS", 0)
-    joined = as_set(exact.dot_products(pairs, rows, rows)), as_set(exact.dot_products(pairs, queries, rows)), as_set(exact.exact_neighbors(rows, 4, queries, precision=6))
+    joined = as_set(exact.dot_products(pairs, rows, rows)), as_set(exact.dot_products(pairs, queries, rows)), blocks
     assert held == joined and all(held)
+    named = [d.withColumn("id", F.lpad(F.col("id").cast("string"), 9, "0")) for d in (rows, queries)]
+    by_features = exact.exact_neighbors(named[0], 4, named[1], precision=6)
+    assert held[2] == as_set(by_features.withColumn("id", F.col("id").cast("long")).withColumn("neighbor_id", F.col("neighbor_id").cast("long")))
     a = {(r["id"], r["f"]): r["v"] for r in to_long(rows).collect()}
     want = {}
     for i, n, *_ in held[0]:

@@ -37,6 +37,28 @@ def _matched(which_a, fa, va, which_b, fb, vb, n: int) -> np.ndarray:
     return np.bincount(which_a[hit], weights=va[hit] * vb[at[hit]], minlength=n).astype(np.float64)
 
 
+def _scattered(a, b, ia: np.ndarray, ib: np.ndarray, width: int) -> np.ndarray:
+    """Dot products of pairs of rows of two tables whose features are numbered from 0
+    to ``width``: a row of ``a`` is laid out once, and read at the features of all its
+    partners. The sums run in the order of features, as those of _matched do."""
+    out, laid = np.empty(len(ia)), np.zeros(width)
+    order = np.argsort(ia, kind="stable")
+    ends = np.cumsum(b.sizes[ib[order]])
+    # pieces of about 4 million cells, whatever the lengths of the rows
+    for piece in np.split(order, np.flatnonzero(np.diff(ends // 4_000_000)) + 1):
+        which, cells = _spans(b.offsets, ib[piece])
+        features, products = b.features[cells], np.empty(len(cells))
+        starts = np.flatnonzero(np.diff(ia[piece], prepend=-1))
+        at = np.searchsorted(which, np.append(starts, len(piece)))
+        for n, row in enumerate(ia[piece][starts]):
+            own = slice(a.offsets[row], a.offsets[row + 1])
+            laid[a.features[own]] = a.values[own]
+            products[at[n] : at[n + 1]] = laid[features[at[n] : at[n + 1]]]
+            laid[a.features[own]] = 0
+        out[piece] = np.bincount(which, weights=products * b.values[cells], minlength=len(piece))
+    return out
+
+
 class _Table:
     """Rows that are few enough for every executor, in the order of their ids."""
 
@@ -88,7 +110,10 @@ def dot_products(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     if _small(left, right):
         a = _Table(left)
         b = a if left is right else _Table(right)
-        held = left.sparkSession.sparkContext.broadcast((vars(a), vars(b)))
+        known = np.unique(np.concatenate((a.features, b.features)))
+        for t in {id(t): t for t in (a, b)}.values():
+            t.features = np.searchsorted(known, t.features).astype(np.int32)
+        held, width = left.sparkSession.sparkContext.broadcast((vars(a), vars(b))), len(known)
 
         def look_up(batches):
             a, b = (_Table.again(parts) for parts in held.value)
@@ -99,8 +124,7 @@ def dot_products(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
                     ib, there_b = b.find(c.column("neighbor_id").to_numpy())
                     both = np.flatnonzero(there_a & there_b)
                     ia, ib = ia[both], ib[both]
-                    (wa, ca), (wb, cb) = _spans(a.offsets, ia), _spans(b.offsets, ib)
-                    xy = _matched(wa, a.features[ca], a.values[ca], wb, b.features[cb], b.values[cb], len(both))
+                    xy = _scattered(a, b, ia, ib, width)
                     cols = [c.column(n).take(pa.array(both)) for n in ("id", "neighbor_id")]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(a.norms[ia]), pa.array(b.norms[ib]), pa.array(xy)], names=["id", "neighbor_id", "xx", "yy", "xy"])
 

@@ -31,8 +31,9 @@ from nearfield.llm.common import components, discard, materialize, pick, slices
 
 #: Fixed values of the query: words of a shingle, seed of XXH64.
 SHINGLE, SEED = 3, 42
-#: Fingerprints of a cell that one key of the range join has on each side, about.
-CELL_PART = 512
+#: Fingerprints of a cell that one key of the range join has on each side, about; cells
+#: of a fingerprint, at most, and of the fingerprints of a task.
+CELL_PART, CELLS, TASK_CELLS = 512, 65, 500_000
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity, and
 #: the samples: how many, and shingles in each. A pair at the least similarity shares
 #: a sample with probability 1 - (1 - 0.8**5)**16 = 0.998, and less for few shingles:
@@ -111,16 +112,19 @@ def grid(fps: DataFrame) -> DataFrame:
 def hamming_links(fps: DataFrame) -> DataFrame:
     """(u, v): the pairs of fingerprints (distinct, column fp) that differ in 2 bits or
     fewer, u < v."""
-    cells = grid(fps)
+    n = fps.count()
+    # nearly all cells are of one fingerprint, so what a task counts is bounded by what it is dealt
+    cells = grid(fps.repartition(max(1, -(-n * CELLS // TASK_CELLS))))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts")))
-    met = materialize(cells.join(shared, "cell").withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")))
+    shared = materialize(shared.select("cell", "n", F.ceil(F.col("n") / CELL_PART).cast("int").alias("parts")), rows=n * CELLS // 2)
+    rows, pairs = (int(x or 0) for x in shared.agg(F.sum("n"), F.sum(F.expr("n * (n - 1D) / 2"))).first())
+    met = materialize(cells.join(shared.drop("n"), "cell").withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")), rows=rows)
     left = met.select("cell", F.col("own").alias("i"), F.explode(F.expr("sequence(own, parts - 1)")).alias("j"), F.col("fp").alias("a"), F.col("way").alias("way_a"))
     right = met.select("cell", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("fp").alias("b"), F.col("way").alias("way_b"))
     # with one way, not 0, into a cell both are in one cell, where they meet as well
     candidates = left.join(right, ["cell", "i", "j"]).where("(i < j or a < b) and a <> b and (way_a = 0 or way_b = 0 or way_a <> way_b)")
     verified = candidates.where("bit_count(a ^ b) <= 2")
-    links = materialize(verified.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    links = materialize(verified.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows=pairs)
     discard(shared, met)
     return links
 
@@ -135,12 +139,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids count as larger than any other; an empty table gives none.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width))
-    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    n = rows.count()
+    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), rows=n)
     links = hamming_links(firsts.select("fp"))
-    found = components(links)
-    node = materialize(firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    found = components(links, rows=links.count())
+    node = materialize(firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), rows=n)
     least = node.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = materialize(node.join(least, "component").select("fp", "component_id"))
+    label = materialize(node.join(least, "component").select("fp", "component_id"), rows=n)
     discard(firsts, links, node)
     named = rows.join(label, "fp")
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

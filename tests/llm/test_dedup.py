@@ -10,6 +10,7 @@ import xxhash
 from nearfield.llm import simhash, substring_dedup as sub
 from nearfield.llm.embedding_dedup import embedding_dedup
 from nearfield.llm.exact_dedup import exact_dedup
+from nearfield.sources import shared
 from tests.llm.conftest import DOCS, SCHEMA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +139,34 @@ def test_links_within_two_bits_only(spark):
     assert reach(fps, links) == reach(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2])
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    import nearfield.operators.components as graph
+
+    files = []
+
+    def counted(df, *parts, **options):
+        out = shared.materialize(df, *parts, **options)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    texts = some_texts(120, 8) + [" ".join(f"v{i}" for i in range(400)) + f" x{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    prints = {i: fingerprint(t) for i, t in enumerate(texts)}
+    assert got == reach(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    assert len(files) > 8 and max(files) <= docs.rdd.getNumPartitions()
+
+
 def test_simhash_of_messy_rows(messy, empty):
     got = simhash.simhash_components(messy).collect()
     assert len(got) == len(DOCS)

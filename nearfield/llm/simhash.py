@@ -14,9 +14,10 @@ Segments of 2 and not of 4 or 8: unrelated fingerprints are within distance 2 wi
 probability of 2e-11, against 4e-7 for 16 segments of 4, so that the candidates of
 10**10 fingerprints are about as many as these.
 
-All that is simhash_components(). near_duplicates() links by Jaccard similarity and uses
-neither the grid nor Hamming distances: its candidates are equal fingerprints of min-wise
-samples and of whole texts, and common rare shingles of short texts.
+simhash_components() names those links. near_duplicates() takes them as candidates, whole
+chains of them, and decides by Jaccard similarity, at which whole texts differ in more
+bits than a grid can hold; equal fingerprints of min-wise samples and common rare
+shingles of short texts are candidates too.
 """
 
 from __future__ import annotations
@@ -129,6 +130,15 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     return links
 
 
+def chains(fps: DataFrame) -> DataFrame:
+    """(node, component): the fingerprints (distinct, column fp) that are linked with
+    others, and the smallest that a chain of links reaches."""
+    links = hamming_links(fps)
+    found = components(links, rows=links.count())
+    discard(links)
+    return found
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fingerprint, component_id) for each row of ``docs``: the fingerprint of the
     whole text in 16 hexadecimal digits, and the smallest id that a chain of links
@@ -141,12 +151,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(fingerprints(docs, id_col, text_col, width))
     n = rows.count()
     firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), rows=n)
-    links = hamming_links(firsts.select("fp"))
-    found = components(links, rows=links.count())
+    found = chains(firsts.select("fp"))
     node = materialize(firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), rows=n)
     least = node.groupBy("component").agg(F.min("first").alias("component_id"))
     label = materialize(node.join(least, "component").select("fp", "component_id"), rows=n)
-    discard(firsts, links, node)
+    discard(firsts, node)
     named = rows.join(label, "fp")
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -230,7 +239,8 @@ def _links_of_the_rest(rest: DataFrame, links: DataFrame, texts: DataFrame, widt
     component; pairs of documents that are connected by then are passed over."""
     group = ["sample", "fp"]
     id_type = dict(rest.dtypes)["id"]
-    label = materialize(components(links))
+    n = links.count()
+    label = materialize(components(links, rows=n), rows=2 * n)
     all_ = rest.groupBy(*group, "id").agg(F.max("n").alias("n")).join(label.withColumnRenamed("node", "id"), "id", "left")
     all_ = materialize(all_.withColumn("component", F.coalesce("component", "id")))
     apart = all_.groupBy(*group).agg(
@@ -325,17 +335,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     duplicates: documents connected by links of Jaccard similarity ``similarity`` or
     more between their sets of shingles, component_id being the smallest.
 
-    At that similarity whole-text fingerprints differ in 10 bits or so, far beyond
-    what a grid can hold, so candidates come from fingerprints of samples of shingles
-    as well, which must be equal, and from the rarest shingles of documents with few,
-    which are prefixes that similar documents cannot but share. In each group every document
+    Fingerprints of whole texts that differ in 2 bits or fewer are found by the grid of
+    popcounts; the documents of a chain of them are a group. At that similarity they
+    differ in 10 bits or so, far beyond what a grid can hold, so candidates come from
+    fingerprints of samples of shingles as well, which must be equal, and from the
+    rarest shingles of documents with few, which are prefixes that similar documents
+    cannot but share. In each group every document
     is compared with the first one, on the whole sets; then those that no links
     connect so far are compared with each other. Rows without id are in no
     group, nor are texts without words unless there are several; rows with one id are
     one document.
     """
     found = materialize(_samples(docs, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()))
-    each = found.select("id", "n", F.posexplode("fps").alias("sample", "fp"))
+    each = found.select("id", "n", F.posexplode(F.slice("fps", 1, SAMPLES)).alias("sample", "fp"))
+    own = found.select("id", "n", F.lit(SAMPLES).alias("sample"), F.element_at("fps", -1).alias("fp"))
+    distinct = materialize(own.select("fp").distinct(), rows=found.count())
+    own = own.join(chains(distinct).withColumnRenamed("node", "fp"), "fp", "left").withColumn("fp", F.coalesce("component", "fp"))
+    each = each.unionByName(own.drop("component"))
     each = each.unionByName(materialize(_rarest(found, similarity)))
     firsts = each.groupBy("sample", "fp").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last")
     firsts = materialize(firsts.select("sample", "fp", F.col("first.id").alias("b"), F.col("first.n").alias("m")))
@@ -369,8 +385,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(dealt.select("id", "b", "part", "role", "shingles").mapInArrow(compare, f"u {id_type}, v {id_type}"))
     rest = each.join(firsts, ["sample", "fp"]).where("id <> b").select("sample", "fp", "id", "n")
     more = _links_of_the_rest(rest, links, texts, width, similarity)
-    out = components(links.unionByName(more))
-    discard(found, firsts, pairs, parts, links)
+    out = components(links.unionByName(more), rows=links.count() + more.count())
+    discard(found, distinct, firsts, pairs, parts, links)
     return out.select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 

@@ -244,6 +244,33 @@ def test_near_duplicates_of_short_texts_are_brute_force(spark):
     assert {i: got.get(i, i) for i in root} == root and sum(root[i] != i for i in root) > 60
 
 
+def test_near_duplicates_take_fingerprints_within_two_bits(spark, monkeypatch):
+    plain = simhash._samples
+
+    def blind(docs, *columns):  # no two rows share a sample
+        other = "concat(transform(slice(fps, 1, size(fps) - 1), (x, i) -> xxhash64(id, i)), slice(fps, -1, 1))"
+        return plain(docs, *columns).selectExpr("id", "n", f"{other} fps", "few")
+
+    monkeypatch.setattr(simhash, "_samples", blind)
+    texts = []
+    for k in range(6):
+        base = [f"b{k}w{i}" for i in range(400)]
+        texts += [" ".join([*base, f"e{k}x{j}"]) for j in range(6)]
+    loud = " ".join("a b c d e f g".split() * 60)  # one fingerprint, few common shingles
+    texts += [" ".join([loud, *(f"t{k}x{i}" for i in range(70))]) for k in range(3)]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in map(str.split, texts)]
+    prints, ids = [fingerprint(t, 5) for t in texts], range(len(texts))
+
+    def want(bits):
+        chain = reach(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= bits])
+        return reach(ids, [(a, b) for a in ids for b in ids if a < b and chain[a] == chain[b] and jaccard(sets[a], sets[b]) >= 0.8]), chain
+
+    root, chain = want(2)
+    got = {x["id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in ids} == root
+    assert want(0)[0] != root and any(chain[i] != i and root[i] == i for i in ids)
+
+
 def test_near_dedup_keeps_columns_and_rows(messy, empty):
     out = simhash.near_dedup(messy)
     assert out.columns == messy.columns

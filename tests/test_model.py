@@ -220,3 +220,51 @@ def test_rows_held_and_rows_joined_agree(spark, rows, monkeypatch):
     assert all(abs(xy - want[i, n]) < 1e-6 for i, n, _, _, xy in held[0])
     none = rows.where("1 = 0")
     assert exact.dot_products(pairs, none, none).count() == 0
+
+
+def test_rows_travel_as_bytes_without_loss(spark):
+    """A cell of small whole numbers takes 2 to 4 bytes, not 16; any other is exact."""
+    from nearfield.operators import exact
+
+    made = [
+        (1, [0, 7, 255], [1.0, 255.0, 3.0]), (2, [3, 70000], [256.0, 65535.0]), (3, [2**24, 2**31 - 1], [0.5, -2.0]), (4, [300], [0.1]), (5, [], []),
+        (6, [1, 2], [float("inf"), 1e300]), (7, [5], [-1.0]), (8, [9], [65536.0]),
+    ]
+    packed = exact._packed(spark.createDataFrame(made, "id long, features array<long>, values array<double>").coalesce(1)).toArrow().combine_chunks().to_batches()[0]
+    sizes, f, v = exact._unpacked(packed.column("cells"))
+    assert packed.column("id").to_pylist() == [m[0] for m in made] and sizes.tolist() == [len(m[1]) for m in made]
+    assert f.tolist() == [x for m in made for x in m[1]] and v.tolist() == [x for m in made for x in m[2]]
+    assert [len(c) for c in packed.column("cells").to_pylist()] == [1 + 3 * 2, 1 + 2 * 5, 1 + 2 * 8, 1 + 10, 1, 1 + 2 * 9, 1 + 5, 1 + 5]
+
+
+def test_round_one_is_measured_once(rows, monkeypatch):
+    """It is read three times, and was made anew for each."""
+    from nearfield.operators import exact
+
+    written = []
+    monkeypatch.setattr(exact, "materialize", lambda df: written.append(df) or df.persist())
+    found = model().fit(rows).kneighbors()
+    assert len(written) == 1 and written[0].columns == ["id", "neighbor_id", "distance", "rank"]
+    assert found.count() > 0
+    written[0].unpersist()
+
+
+def test_no_row_goes_to_the_driver(rows, monkeypatch):
+    from nearfield.operators import exact
+
+    monkeypatch.setattr(exact, "_Table", None)  # rows that the driver collects
+    pairs = model().fit(rows).kneighbors(fast=True)
+    assert exact.dot_products(pairs, rows, rows).count() == pairs.count()
+
+
+def test_pairs_of_unknown_ids_and_slices_of_a_group(spark, monkeypatch):
+    """An id without a row has no measures, wherever it comes among the others; a group
+    of partners that is cut into slices is matched as a whole one."""
+    from nearfield.operators import exact
+
+    made = spark.createDataFrame([(i, [0, i, 1000], [1.0, 2.0, float(i)]) for i in range(2, 40)], "id long, features array<long>, values array<double>").coalesce(1)
+    pairs = spark.createDataFrame([(a, b) for a in (1, 2, 5, 30, 41, 99) for b in (1, 3, 30, 39, 77)], "id long, neighbor_id long")
+    want = {(a, b, 1.0 + 4 + a * a, 1.0 + 4 + b * b, 1.0 + a * b + (4.0 if a == b else 0.0)) for a in (2, 5, 30) for b in (3, 30, 39)}
+    assert as_set(exact.dot_products(pairs, made, made)) == want
+    monkeypatch.setattr(exact, "_PIECE", 20)
+    assert as_set(exact.dot_products(pairs, made, made)) == want

@@ -268,3 +268,41 @@ def test_pairs_of_unknown_ids_and_slices_of_a_group(spark, monkeypatch):
     assert as_set(exact.dot_products(pairs, made, made)) == want
     monkeypatch.setattr(exact, "_PIECE", 20)
     assert as_set(exact.dot_products(pairs, made, made)) == want
+
+
+@pytest.mark.parametrize("far", [1, 2**50])
+def test_collisions_are_ranked_as_by_window(spark, far):
+    """Ties, a least number, ids far apart and below 0, queries, and groups that go on
+    in the next batch; and no exchange of pairs."""
+    import random
+
+    from nearfield.operators import candidates as cand
+
+    random.seed(8)
+    cells = [((i - 30) * far, s, random.randrange(6)) for i in range(60) for s in range(8)]
+    index = spark.createDataFrame(cells, "id long, slot int, val long").select("slot", "val", "id")
+    asked = spark.createDataFrame([(i + 7, s, random.randrange(9)) for i in range(20) for s in range(8)], "id long, slot int, val long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for queries in (None, asked):
+            for n, least, ties in ((3, 1, False), (3, 1, True), (2**31 - 1, 2, False), (4, 3, True)):
+                want = cand.by_collisions(cand.collisions(index, queries, least), n, ties)
+                got = cand.ranked(index, n, queries, least, ties)
+                assert got.dtypes == want.dtypes and as_set(got) == as_set(want) and want.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = cand.ranked(index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "neighbor_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    named = index.withColumn("id", F.col("id").cast("string"))
+    assert as_set(cand.ranked(named, 3)) == as_set(cand.by_collisions(cand.collisions(named), 3))
+    assert cand.ranked(index.where("1 = 0"), 3).count() == 0
+
+
+def test_a_fast_radius_counts_no_pair_twice(rows):
+    m = model().fit(rows)
+    every = m._collisions(None).select("id", "neighbor_id", (1 - F.col("cnt") / 16).alias("distance"))
+    for radius in (0.8, 0.9375, 1.0, 0.0):
+        got = m.radius_neighbors(radius=radius, fast=True)
+        assert as_set(got.select("id", "neighbor_id", "distance")) == as_set(every.where(F.col("distance") <= radius))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # ranks come with the counts

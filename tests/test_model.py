@@ -306,3 +306,9 @@ def test_a_fast_radius_counts_no_pair_twice(rows):
         assert as_set(got.select("id", "neighbor_id", "distance")) == as_set(every.where(F.col("distance") <= radius))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # ranks come with the counts
+
+
+def test_a_symmetric_graph_finds_its_edges_once(rows):
+    edges = model().fit(rows).kneighbors_graph(fast=True)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow counted(") == 1 and "Union" not in plan

@@ -71,3 +71,28 @@ def test_tables_in_the_shared_folder_can_be_released(spark):
     assert any(where.iterdir())
     shared.release(spark)
     assert not where.exists()
+
+
+def test_words_are_counted_where_they_lie(spark):
+    """Ids that repeat, across files and batches too, add up; null ids, texts and words
+    and empty words drop out; what crosses the network is lists of counts, once."""
+    from pyspark.sql import functions as F
+
+    from nearfield.sources.rows import from_long, from_words
+
+    made = [(7, ["a", "b", "", "a"]), (3, ["é", None, "ß", "é"]), (7, ["b", "c"]), (None, ["a"]), (4, None), (5, []), (6, ["", None]), (9, ["x"] * 300), (7, ["a"]), (-2, ["a"])]
+    df = spark.createDataFrame(made, "id long, words array<string>")
+    long = df.select("id", F.explode("words").alias("w")).where("w <> ''").select("id", F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("long").alias("f"), F.lit(1.0).alias("v"))
+    want = as_set(from_long(long))
+    assert {i for i, *_ in want} == {7, 3, 9, -2}
+    for size in (1, 2, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for parts in (1, 4):
+            got = from_words(df.repartition(parts))
+            assert got.dtypes == [("id", "bigint"), ("features", "array<bigint>"), ("values", "array<double>")] and as_set(got) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = from_words(df)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in x for x in plan.splitlines()) == 1 and "HashAggregate" not in plan
+    assert as_set(from_words(df.where("id in (4, 5, 6)"))) == set()
+    named = df.withColumn("id", F.col("id").cast("string"))
+    assert {(int(i), *r) for i, *r in as_set(from_words(named))} == want

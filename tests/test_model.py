@@ -312,3 +312,41 @@ def test_a_symmetric_graph_finds_its_edges_once(rows):
     edges = model().fit(rows).kneighbors_graph(fast=True)
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow counted(") == 1 and "Union" not in plan
+
+
+def test_a_radius_is_measured_in_the_buckets(spark, rows, monkeypatch):
+    """All pairs within the radius, once each, ranked; with a least number of common
+    buckets too; and a row goes to its buckets, not to each of its pairs."""
+    from nearfield.operators import exact
+
+    for least in (1, 2):
+        m = model(minimal_blocks_in_common=least).fit(rows)
+        for similarity, radius in ((False, 250.0), (True, 0.97), (False, 1e9), (True, -1.0)):
+            pairs = exact.measured(m._collisions(None), m.rows, m.rows, similarity, 6)
+            near = pairs.where((1 - F.col("distance") if similarity else F.col("distance")) <= radius)
+            want = exact.nearest(near, 2**31 - 1, similarity).select("id", "rank", "neighbor_id", "distance")
+            got = m.radius_neighbors(radius=radius, similarity=similarity)
+            assert got.dtypes == want.dtypes and as_set(got) == as_set(want) and got.count() == want.count()
+        assert want.count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "neighbor_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x and "cells" in x) and "Window" not in plan
+
+
+def test_products_of_small_and_large_buckets_agree(monkeypatch):
+    import numpy as np
+
+    from nearfield.operators import exact
+
+    r = np.random.default_rng(2)
+    made = [(b, np.sort(r.choice(40, r.integers(1, 12), replace=False))) for b, n in enumerate((2, 9, 5, 30, 2)) for _ in range(n)]
+    place, ends = np.array([b for b, _ in made]), np.cumsum([len(f) for _, f in made])
+    f, v = np.concatenate([f for _, f in made]), r.standard_normal(ends[-1])
+    dense = np.zeros((len(made), 40))
+    dense[np.repeat(np.arange(len(made)), np.diff(ends, prepend=0)), f] = v
+    want = {(i, j) for i in range(len(made)) for j in range(i + 1, len(made)) if place[i] == place[j]}
+    for most in (8_000_000, 100, 1):
+        monkeypatch.setattr(exact, "_MOST_PRODUCTS", most)
+        got = {(int(i), int(j)): x for part in exact._products(place, ends, f, v) for i, j, x in zip(*part)}
+        assert set(got) == want and all(abs(x - dense[i] @ dense[j]) < 1e-9 for (i, j), x in got.items())
+        first = got if most == 8_000_000 else first
+        assert got == first  # to the last bit

@@ -350,3 +350,30 @@ def test_products_of_small_and_large_buckets_agree(monkeypatch):
         assert set(got) == want and all(abs(x - dense[i] @ dense[j]) < 1e-9 for (i, j), x in got.items())
         first = got if most == 8_000_000 else first
         assert got == first  # to the last bit
+
+
+def test_principal_components_send_each_column_once(spark):
+    """However many tasks the rows are dealt over."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from nearfield.operators.cluster import reduced
+
+    df = spark.createDataFrame([(i, Vectors.sparse(400, [(i % 400, 1.0), ((i * 7 + 1) % 400, 2.0)] if i % 400 != (i * 7 + 1) % 400 else [])) for i in range(400)], ["id", "features"])
+    sent, plain = [], Frame.toLocalIterator
+
+    def counted(self, *args):
+        for row in plain(self, *args):
+            sent.append(len(row["part"]))
+            yield row
+
+    Frame.toLocalIterator = counted
+    try:
+        got = {}
+        for parts in (1, 16):
+            sent.clear()
+            got[parts] = {r["id"]: r["features"].toArray() for r in reduced(df.repartition(parts), 2).collect()}
+            assert sum(sent) <= 8 * 400 * (12 * 5 + 1)
+    finally:
+        Frame.toLocalIterator = plain
+    assert all(abs(got[1][i] - got[16][i]).max() < 1e-6 for i in got[1]) and len(got[1]) == 400

@@ -377,3 +377,31 @@ def test_principal_components_send_each_column_once(spark):
     finally:
         Frame.toLocalIterator = plain
     assert all(abs(got[1][i] - got[16][i]).max() < 1e-6 for i in got[1]) and len(got[1]) == 400
+
+
+def test_truth_is_the_same_dense_sparse_and_in_blocks(spark, monkeypatch):
+    """Whole numbers go through the dense product, others do not; ties that rounding
+    makes are kept; and a row that falls behind those before it leaves no task."""
+    import numpy as np
+
+    from nearfield.operators import exact
+
+    r = np.random.default_rng(6)
+    made = [(i, sorted(int(f) for f in r.choice(30, 8, replace=False)), [float(x) for x in r.integers(1, 6, 8)]) for i in range(90)]
+    for scale in (1.0, 0.37):
+        df = spark.createDataFrame([(i, f, [x * scale for x in v]) for i, f, v in made], "id long, features array<long>, values array<double>").repartition(2)
+        q = df.where("id % 4 = 0")
+        for precision in (2, 6):
+            pairs = q.select("id").crossJoin(df.select(F.col("id").alias("neighbor_id"))).where("id <> neighbor_id")
+            every = exact.dot_products(pairs, q, df).where("xy <> 0")
+            want = as_set(exact.nearest(every.select("id", "neighbor_id", F.round(exact.cosine(), precision).alias("distance")), 5, True))
+            for dense in (512, 0):
+                monkeypatch.setattr(exact, "_MOST_DENSE", dense)
+                assert as_set(exact.exact_neighbors(df, 5, q, precision=precision)) == want
+    sent = exact._against(df.coalesce(1), q, 5, 1e-6).count()
+    assert q.count() * 5 <= sent
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert exact._against(df.coalesce(1), q, 5, 1e-6).count() < q.count() * 45  # not 5 of each batch of 10
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -379,6 +379,27 @@ def test_principal_components_send_each_column_once(spark):
     assert all(abs(got[1][i] - got[16][i]).max() < 1e-6 for i in got[1]) and len(got[1]) == 400
 
 
+@pytest.mark.parametrize("similarity", [False, True])
+def test_round_two_goes_through_neighbours(rows, similarity):
+    """All pairs of a row and the neighbours of those it asks, with slices that cut a
+    group; no row is dealt by pair."""
+    from nearfield.operators import exact
+
+    queries = rows.where("id % 3 = 0")
+    for few in (rows, queries):
+        known = model().fit(rows).kneighbors(fast=True).select("id", "neighbor_id")
+        asked = known.join(few.select("id"), "id", "left_semi").select("id", F.col("neighbor_id").alias("via"))
+        pairs = asked.join(known.select(F.col("id").alias("via"), "neighbor_id"), "via").select("id", "neighbor_id")
+        want = exact.dot_products(pairs.distinct(), few, rows)
+        for piece in (8_000_000, 2_000):
+            exact._PIECE, kept = piece, exact._PIECE
+            got = exact._through(asked, known, few, rows)
+            exact._PIECE = kept
+            assert got.count() == pairs.count() and as_set(got) == as_set(want)
+    found = model().fit(rows).kneighbors(similarity=similarity)
+    assert found.groupBy("id", "neighbor_id").count().where("count > 1").count() == 0 < found.count()
+
+
 def test_truth_is_the_same_dense_sparse_and_in_blocks(spark, monkeypatch):
     """Whole numbers go through the dense product, others do not; ties that rounding
     makes are kept; and a row that falls behind those before it leaves no task."""
